@@ -6,10 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import spans
+from millrace.llm import leaks, spans, tokens
 from millrace.tables import load
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_corpus(load(spark, sf_dir, "documents"))
+
+
+def p7_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids with the byte offset at which each token ends."""
+    return tokens.encode_corpus(load(spark, sf_dir, "documents"), offsets=True)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
+def p8_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of at least 13 words in which one word may be substituted."""
+    return leaks.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_pairs(spans.find_repeats(load(spark, sf_dir, "documents")))
 
@@ -19,7 +37,7 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p9_found": p9_found, "p9_shared": p9_shared}
+    return {f.__name__: f for f in (p7_ids, p7_offsets, p8_found, p8_overlaps, p9_found, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
