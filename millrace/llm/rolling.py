@@ -117,8 +117,8 @@ def _batches(texts: list[str], span: int):
 
 def window_runs(texts: list[str], span: int, gram: int) -> dict[str, np.ndarray]:
     """Runs of the texts: ``text`` (position in the list), ``anchor``, ``content``
-    (64-bit hashes), ``start`` (code point of the first window) and ``windows``
-    (how many). Null texts and texts shorter than ``span`` have none."""
+    (64-bit hashes), ``start`` (code point of the first window), ``windows``
+    (how many) and ``again`` (the text has had this anchor before). Null texts and texts shorter than ``span`` have none."""
     parts = []
     width = span - gram + 1
     mask = U((1 << POS_BITS) - 1)
@@ -145,5 +145,10 @@ def window_runs(texts: list[str], span: int, gram: int) -> dict[str, np.ndarray]
         parts.append((number[whose], grams[anchor], content, starts - first[whose] + offset[whose], after - starts))
     names = ("text", "anchor", "content", "start", "windows")
     if not parts:
-        return dict(zip(names, (np.zeros(0, t) for t in (np.int64, U, U, np.int64, np.int64))))
-    return {n: np.concatenate(x) for n, x in zip(names, zip(*parts))}
+        return dict(zip((*names, "again"), (np.zeros(0, t) for t in (np.int64, U, U, np.int64, np.int64, bool))))
+    out = {n: np.concatenate(x) for n, x in zip(names, zip(*parts))}
+    order = np.lexsort((out["anchor"], out["text"]))
+    same = (out["anchor"][order][1:] == out["anchor"][order][:-1]) & (out["text"][order][1:] == out["text"][order][:-1])
+    out["again"] = np.zeros(len(order), bool)
+    out["again"][order[1:]] = same
+    return out

@@ -32,7 +32,7 @@ from millrace.llm.rolling import Hasher, code_points, window_runs
 from millrace.session import written
 
 SPAN = 300
-_RUN = "doc BIGINT, anchor BIGINT, content BIGINT, start BIGINT, windows BIGINT"
+_RUN = "doc BIGINT, anchor BIGINT, content BIGINT, start BIGINT, windows BIGINT, again BOOLEAN"
 _ONE = "anchor BIGINT, content BIGINT, least BIGINT, most BIGINT, window BIGINT, at BIGINT"
 
 
@@ -47,12 +47,19 @@ def runs(docs: DataFrame, span: int = SPAN, gram: int | None = None) -> DataFram
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             r = window_runs(b["text"].tolist(), span, gram)
-            yield pd.DataFrame({"doc": b["doc"].to_numpy()[r["text"]], "anchor": _signed(r["anchor"]), "content": _signed(r["content"]), "start": r["start"], "windows": r["windows"]})
+            yield pd.DataFrame({"doc": b["doc"].to_numpy()[r["text"]], "anchor": _signed(r["anchor"]), "content": _signed(r["content"]), "start": r["start"], "windows": r["windows"], "again": r["again"]})
 
     long_enough = docs.where(F.length("text") >= span)
     return long_enough.mapInPandas(work, _RUN)
 
 
+def keep_listed(df: DataFrame, keys: DataFrame, key: str, most: int = 4_000_000) -> DataFrame:
+    """Rows whose key is in a written list of distinct BIGINT keys. Up to ``most`` keys
+    (some 100 MB as a hash table) are broadcast, which spares the shuffle of ``df``;
+    a longer list is joined by shuffle."""
+    return df.join(F.broadcast(keys) if keys.count() <= most else keys, key, "left_semi")
+
+
 def _single_windows(docs: DataFrame, classes: DataFrame, span: int) -> DataFrame:
     """The windows of one representative run per class, one row each."""
 
@@ -76,8 +83,8 @@ def _single_windows(docs: DataFrame, classes: DataFrame, span: int) -> DataFrame
             yield pd.concat(held, ignore_index=True)
 
     # one row per document; a document has at most as many runs as code points
-    picks = classes.groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "least", "most", "start", "windows")).alias("picks"))
-    return docs.join(picks, "doc").select("text", "picks").mapInPandas(gathered, _ONE)
+    picks = written(classes.groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "least", "most", "start", "windows")).alias("picks")), "picks")
+    return keep_listed(docs, picks.select("doc"), "doc").join(picks, "doc").select("text", "picks").mapInPandas(gathered, _ONE)
 
 
 @dataclass
@@ -95,8 +102,9 @@ class Repeats:
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int | None = None) -> Repeats:
     docs = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull())
     every = written(runs(docs, span, gram), "runs")
-    anchors = every.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("anchor")
-    hot = written(every.join(anchors, "anchor", "left_semi"), "repeated")
+    # an anchor counts once a record, so two say that two records have it (or one id twice)
+    anchors = written(every.where("NOT again").groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    hot = written(keep_listed(every.drop("again"), anchors, "anchor"), "repeated")
     classes = written(
         hot.groupBy("anchor", "content").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(F.struct("doc", "start", "windows")).alias("one")), "classes"
     )
