@@ -15,7 +15,7 @@ sizes are not small; an empty listing consolidates nothing; an empty file's sche
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import pandas as pd
@@ -175,21 +175,20 @@ _LANDED_ARROW = pa.schema([("name", pa.string()), ("path", pa.string()), ("size"
 _LANDED = _LANDED_ARROW.names
 
 
-def distinct_lines(lines: DataFrame, name: str = "file_name", number: str = "line_no", at: str = "loaded_at", tie: str = "line_id") -> DataFrame:
-    """Each (file, line number) once: the latest load, then the greatest id. Lines without a
-    file or a number can't be placed in a landing file and are left to the caller."""
-    rest = [c for c in lines.columns if c not in (name, number)]
+def distinct_lines(lines: DataFrame, columns: Sequence[str], name: str = "file_name", number: str = "line_no", at: str = "loaded_at", tie: str = "line_id") -> DataFrame:
+    """Each (file, line number) once, with ``columns``: the latest load, then the greatest id.
+    Lines without a file or a number can't be placed in a landing file and are left out."""
     rows = lines.where(F.col(name).isNotNull() & F.col(number).isNotNull())
-    best = rows.groupBy(name, number).agg(F.max(F.struct(F.col(at).alias("__at"), F.col(tie).alias("__tie"), *[F.col(c) for c in rest])).alias("__row"))
-    return best.select(name, number, *[F.col(f"__row.{c}").alias(c) for c in rest])
+    row = F.struct(F.col(at).alias("a"), F.col(tie).alias("t"), F.struct(*columns).alias("row"))
+    return rows.groupBy(name, number).agg(F.max(row).alias("m")).select(name, number, "m.row.*")
 
 
-def consolidate_lines(lines: DataFrame, target: int = 128 * MIB, most_blocks: int = 8192, columns: tuple[str, ...] = ("recordtype", "key", "value")) -> DataFrame:
+def consolidate_lines(lines: DataFrame, target: int = 128 * MIB, most_blocks: int = 8192, columns: Sequence[str] = ("recordtype", "key", "value")) -> DataFrame:
     """Land the distinct lines as small files and consolidate those by block copying;
     the result of ``consolidate``. The area of a landing file is the folder above its own."""
     spark = lines.sparkSession
     base = scratch(spark, "landing")
-    kept = distinct_lines(lines).select("file_name", "line_no", *columns)
+    kept = distinct_lines(lines, columns)
     listing = scratch(spark, "listing")
     land(kept, f"{base}/small").write.parquet(listing)
     landed = spark.read.parquet(listing).withColumn("area", folder_of(folder_of(F.col("name"))))

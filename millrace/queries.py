@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import compaction, hotkeys, malformed, references
+from millrace.plans import reference_queries
 from millrace.tables import load
 
 
@@ -62,7 +63,7 @@ def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (p1_method, p1_found, p2_found, p2_rankings, p2_visits, p5_found, p5_report, p6_method, p6_found, p6_totals)
-    return {f.__name__: f for f in found}
+    return reference_queries.queries() | {f.__name__: f for f in found}
 
 
 _FLOAT = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
@@ -92,7 +93,7 @@ _NUMBERS = f"WITH n AS (SELECT jobnumber, key, value, CASE WHEN regexp_full_matc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return reference_queries.oracle_sql() | {
         "p1_found": """
             WITH spelled AS (SELECT *, 's3://' || array_to_string(list_reduce(
                 list_transform(list_filter(string_split(substr(name, 6), '/'), lambda x: x NOT IN ('', '.')), lambda x: [x]),
