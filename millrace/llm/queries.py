@@ -5,11 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import leaks, spans, tokens
+from millrace.llm import frequent, leaks, percentiles, spans, tokens
 from millrace.tables import load
 
 
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of ad revenue per address prefix and of page rank per month, from one
+    sketch per group and day."""
+    records = load(spark, sf_dir, "records")
+    month = F.coalesce(F.date_format("recorddate", "yyyy-MM"), F.lit("none"))
+    out = []
+    for measure, kind, group, value in (("adrevenue", 1, F.substring("sourceip", 1, 8), F.col("adrevenue")), ("pagerank", 0, month, F.col("pagerank"))):
+        daily = percentiles.partial_sketches(records.where(F.col("recordtype") == kind), group, F.col("recorddate"), value)
+        out.append(percentiles.percentiles(percentiles.merged_sketches(daily)).select(F.lit(measure).alias("measure"), "*"))
+    return out[0].unionByName(out[1])
+
+
+_FIELDS = (("kv_records", "key"), ("records", "sourceip"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [frequent.items_above(load(spark, sf_dir, t), c, 0.005).select(F.lit(f"{t}.{c}").alias("field"), "item") for t, c in _FIELDS]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 most frequent values of each field with their counts."""
+    parts = [frequent.top_items(load(spark, sf_dir, t), c, 100).select(F.lit(f"{t}.{c}").alias("field"), "item", "n") for t, c in _FIELDS]
+    return parts[0].unionByName(parts[1])
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(load(spark, sf_dir, "documents"))
 
@@ -37,8 +64,23 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p7_offsets, p8_found, p8_overlaps, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p3_percentiles, p4_found, p4_top, p7_ids, p7_offsets, p8_found, p8_overlaps, p9_found, p9_shared)}
+
+
+_WORDS = "regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": """
+            SELECT 'kv_records.key' AS field, key AS item FROM kv_records WHERE key <> '' GROUP BY key HAVING count(*) >= 0.005 * (SELECT count(*) FROM kv_records)
+            UNION ALL SELECT 'records.sourceip', sourceip FROM records WHERE sourceip <> '' GROUP BY sourceip HAVING count(*) >= 0.005 * (SELECT count(*) FROM records)""",
+        "p4_top": """
+            (SELECT 'kv_records.key' AS field, key AS item, count(*) AS n FROM kv_records WHERE key <> '' GROUP BY key ORDER BY n DESC, item LIMIT 100)
+            UNION ALL (SELECT 'records.sourceip', sourceip, count(*) AS n FROM records WHERE sourceip <> '' GROUP BY sourceip ORDER BY n DESC, sourceip LIMIT 100)""",
+        "p8_found": f"""
+            WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+            dw AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+            iw AS (SELECT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))
+            SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
+    }
