@@ -63,28 +63,29 @@ def chomp(value: Column) -> Column:
     return F.when(value.endswith("\r"), F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value)
 
 
-def _well_quoted(segments: Column, text: Column) -> Column:
-    """``segments`` is the text cut at quotes: odd ones lie inside quotes. Between two
-    quoted parts there is nothing (a doubled quote) or text that begins and ends with
-    a comma; the first part ends and the last begins with one."""
-    last = F.size(segments) - 1
+def _inner(segments: Column) -> Column:
+    return F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 2, F.lit(0)))
 
-    def fine(x: Column, i: Column) -> Column:
-        before, after = (i == 0) | x.startswith(","), (i == last) | x.endswith(",")
-        return (i % 2 == 1) | (x == "") | (before & after)
 
-    return ~text.contains('"') | ((last % 2 == 0) & F.forall(F.transform(segments, fine), lambda b: b))
+def _well_quoted(segments: Column, text: Column) -> Column:
+    """``segments`` is the text cut at quotes: every second one lies inside quotes. Between
+    two quoted parts there is nothing (a doubled quote) or text that begins and ends with
+    a comma; the first part ends and the last begins with one."""
+    first, last = F.element_at(segments, 1), F.element_at(segments, -1)
+    # of the inner segments, those with an even index lie inside quotes
+    inner = F.transform(_inner(segments), lambda x, i: (i % 2 == 0) | (x == "") | (x.startswith(",") & x.endswith(",")))
+    ends = ((first == "") | first.endswith(",")) & ((last == "") | last.startswith(","))
+    return ~text.contains('"') | ((F.size(segments) % 2 == 1) & ends & F.forall(inner, lambda b: b))
 
 
 def _split_quoted(segments: Column) -> Column:
     """Fields of a well-quoted record. Commas inside quotes are escaped while splitting;
     the escape character itself was escaped before."""
-    last = F.size(segments) - 1
 
     def part(x: Column, i: Column) -> Column:
-        return F.when(i % 2 == 1, F.replace(x, F.lit(","), F.lit("\x01b"))).when((x == "") & (i > 0) & (i < last), F.lit('"')).otherwise(x)
+        return F.when(i % 2 == 0, F.replace(x, F.lit(","), F.lit("\x01b"))).when(x == "", F.lit('"')).otherwise(x)
 
-    joined = F.array_join(F.transform(segments, part), "")
+    joined = F.concat(F.element_at(segments, 1), F.array_join(F.transform(_inner(segments), part), ""), F.element_at(segments, -1))
     return F.transform(F.split(joined, ",", -1), lambda f: F.replace(F.replace(f, F.lit("\x01b"), F.lit(",")), F.lit("\x01a"), F.lit("\x01")))
 
 
