@@ -172,7 +172,8 @@ class Joined:
             self.schema, self.base = schema, footer
         elif schema != self.schema:
             raise ValueError("the schemas differ")
-        groups, rows = footer[4][1][1], 0
+        # a row group without rows has no pages to copy
+        groups, rows = [g for g in footer[4][1][1] if g[3][1] > 0], 0
         for group in groups:
             columns, first = [], self.at
             for chunk in group[1][1][1]:
