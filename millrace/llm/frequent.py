@@ -101,5 +101,5 @@ def top_items(df: DataFrame, column: str, k: int, most: int = 1 << 20, broadcast
     rows = first.agg(F.coalesce(F.sum("node_rows"), F.lit(0))).first()[0]
     kth = first.where("item IS NOT NULL").groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(k).agg(F.min("n"), F.count("*")).first()
     bound = kth[0] if kth[1] == k else 1  # fewer leaders than k: every item counts
-    sent = written(_pass(items, lambda c: _at_least(c, bound * c.rows / rows), most), "fetched")
+    sent = written(_pass(items, lambda c: _at_least(c, bound * c.rows / max(rows, 1)), most), "fetched")
     return _exact(items, sent, broadcast_rows).orderBy(F.desc("n"), "item").limit(k)

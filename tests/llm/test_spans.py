@@ -1,0 +1,85 @@
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from millrace.llm import rolling, spans
+
+SCHEMA = "doc_id BIGINT, text STRING, doc STRING, anchor BIGINT, start INT"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA)
+
+
+def brute(rows, span):
+    holders = defaultdict(set)
+    for d, t in rows:
+        for i in range(len(t or "") - span + 1):
+            holders[t[i : i + span]].add(d)
+    pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
+    report = {}
+    for d, t in rows:
+        inside = np.zeros(len(t or ""), bool)
+        for i in range(len(t or "") - span + 1):
+            if len(holders[t[i : i + span]]) > 1:
+                inside[i : i + span] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
+        runs = (edges[1::2] - edges[::2]).tolist()
+        report[d] = (len(t or ""), int(inside.sum()), len(runs), max(runs, default=0))
+    return pairs, report
+
+
+def texts(seed):
+    rng = random.Random(seed)
+    letters = ["ab", "abcdefgh", "aé日💥"][seed % 3]
+    pool = ["".join(rng.choice(letters) for _ in range(rng.randrange(10, 60))) for _ in range(8)] + ["=" * 50, "ab" * 30]
+    out = [(d, "".join(rng.choice(pool)[rng.randrange(5) :] if rng.random() < 0.4 else "".join(rng.choice(letters + "xyz") for _ in range(rng.randrange(25))) for _ in range(rng.randrange(6)))) for d in range(40)]
+    return out + [(100, None), (101, ""), (102, "=" * 19), (103, "=" * 20), (104, out[7][1]), (105, out[7][1])]
+
+
+@pytest.mark.parametrize("seed, gram", [(0, 10), (1, 7), (2, 20)])
+def test_against_brute_force(spark, seed, gram):
+    rows = texts(seed)
+    pairs, report = brute(rows, 20)
+    found = spans.find_repeats(frame(spark, rows), span=20, gram=gram)
+    got = [tuple(r) for r in spans.shared_pairs(found).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+    if gram == 10:
+        got = {r.doc_id: (r.n_chars, r.shared_chars, r.spans, r.longest) for r in spans.shared_report(frame(spark, rows), span=20).collect()}
+        want = {d: (n, s, *rest) for d, (n, s, *rest) in report.items()}
+        assert {d: x[:2] for d, x in got.items()} == {d: x[:2] for d, x in want.items()}
+        assert got == want
+
+
+def test_many_copies_and_keys_without_rows(spark):
+    rows = [(d, "the same long text of every copy " * 3 + (f" end {d}" if d % 2 else "")) for d in range(30)]
+    pairs, _ = brute(rows, 50)
+    assert {tuple(r) for r in spans.shared_pairs(spans.find_repeats(frame(spark, rows), span=50)).collect()} == pairs
+    found = spans.find_repeats(frame(spark, []), span=50)
+    assert spans.shared_pairs(found).collect() == []
+    assert spans.shared_report(frame(spark, [(1, None), (2, "short")])).orderBy("doc_id").collect()[1].n_chars == 5
+
+
+def test_runs_cover_every_window():
+    rng = random.Random(1)
+    docs = ["".join(rng.choice("abc") for _ in range(n)) for n in (0, 29, 30, 31, 500)] + [None, "a" * 100]
+    r = rolling.window_runs(docs, 30, 12)
+    seen = sorted((t, s + k) for t, s, n in zip(r["text"].tolist(), r["start"].tolist(), r["windows"].tolist()) for k in range(n))
+    assert seen == [(t, i) for t, d in enumerate(docs) for i in range(len(d or "") - 29)]
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcd") for _ in range(1000))
+    monkeypatch.setattr(rolling, "_LIMIT", 64)
+    r = rolling.window_runs([text, text[100:300]], 30, 12)
+    seen = sorted((t, s + k) for t, s, n in zip(r["text"].tolist(), r["start"].tolist(), r["windows"].tolist()) for k in range(n))
+    assert seen == [(0, i) for i in range(971)] + [(1, i) for i in range(171)]
+
+
+def test_hashes_slide():
+    points = rolling.code_points("abcabcabd")
+    h = rolling.Hasher(points).every(3)
+    assert h[0] == h[3] and len(set(h.tolist())) == 4
