@@ -21,7 +21,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--master")
     parser.add_argument("--split-size", type=int)
     parser.add_argument("--reduce-bin-size", type=int)
-    given = parser.parse_args(args)
+    given = parser.parse_intermixed_args(args)
     conf = EngineConf.load(working_location=given.out, verbose=given.verbose, split_size=given.split_size, reduce_bin_size=given.reduce_bin_size)
     conf = conf.with_(inputs=(*conf.inputs, *given.inputs))
     began = time.time()
