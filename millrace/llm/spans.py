@@ -137,7 +137,7 @@ def _sets_once(members: DataFrame, key: list[str], item: str) -> DataFrame:
     return members.join(once, key, "left_semi")
 
 
-def shared_pairs(found: Repeats) -> DataFrame:
+def shared_pairs(found: Repeats, block: int = 1000) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: all pairs with a common stretch of ``span`` code
     points. Its size is the result's own; pairs come only from groups that hold a
     common window, each distinct group once."""
@@ -148,8 +148,13 @@ def shared_pairs(found: Repeats) -> DataFrame:
     edges = by_class.join(found.runs.select("anchor", "content", "doc"), ["anchor", "content"]).select("anchor", F.col("window").alias("part"), F.lit(1).alias("kind"), "doc")
     key = ["anchor", "part", "kind"]
     members = written(_sets_once(whole.unionByName(edges).distinct(), key, "doc"), "holders")
-    a, b = members.withColumnRenamed("doc", "doc_a"), members.withColumnRenamed("doc", "doc_b")
-    return a.join(b, key).where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    # large groups are cut into blocks and joined block by block, so no task makes more
+    # than about block**2 pairs of one group; a group of one block isn't repeated
+    blocks = members.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    cut = members.join(blocks, key).withColumn("own", F.expr("pmod(xxhash64(doc), n)").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    a = cut.select(*key, F.col("own").alias("i"), F.col("other").alias("j"), F.col("doc").alias("doc_a"))
+    b = cut.select(*key, F.col("other").alias("i"), F.col("own").alias("j"), F.col("doc").alias("doc_b"))
+    return a.join(b, [*key, "i", "j"]).where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
 
 
 def shared_intervals(found: Repeats) -> DataFrame:
