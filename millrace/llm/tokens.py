@@ -19,6 +19,7 @@ import base64
 import heapq
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.rolling import mix
+
 DEFAULT_FOLDER = "/opt/tokenizers"
 #: White_Space of Unicode. Fixed values.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -135,7 +138,13 @@ def slice_starts(points: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Ranks of byte strings and a cache of merged slices, bounded by ``most`` entries."""
+    """Ranks of byte strings and a cache of merged slices, bounded by ``most`` entries.
+
+    Slices of up to seven bytes are known by their bytes and length packed into one
+    integer, and a direct-mapped table finds them for a whole batch at once; the others,
+    and those whose place in the table another holds, are looked up one by one."""
+
+    _BITS = 18
 
     def __init__(self, path: str, most: int = 1 << 19):
         with open(path, "rb") as f:
@@ -145,9 +154,9 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.cache: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.first: list[int] = [0]
+        self.cache: dict[bytes, int] = {}
+        self.flat, self.first = array("i"), array("q", [0])
+        self.keys, self.held = np.zeros(1 << self._BITS, np.uint64), np.zeros(1 << self._BITS, np.int64)
 
     def merge(self, piece: bytes) -> list[int]:
         """Joins the neighbouring pair of lowest rank, the leftmost of equals, until none is in the vocabulary."""
@@ -195,30 +204,54 @@ class Vocabulary:
             i = end[i]
         return out
 
-    def number(self, piece: str) -> int:
+    def number(self, piece: bytes) -> int:
         """Cache number of a slice."""
-        self.flat += self.merge(piece.encode("utf-8"))
-        self.first.append(len(self.flat))
-        self.cache[piece] = n = len(self.first) - 2
+        if (n := self.cache.get(piece)) is None:
+            self.flat.extend(self.merge(piece))
+            self.first.append(len(self.flat))
+            self.cache[piece] = n = len(self.first) - 2
         return n
 
+    def _numbers(self, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Cache numbers of all slices, given by byte ranges."""
+        octets = np.frombuffer(data + bytes(8), np.uint8)
+        length = end - start
+        keys = np.minimum(length, 8).astype(np.uint64) << np.uint64(56)
+        for i in range(7):
+            keys |= np.where(length > i, octets[start + i], 0).astype(np.uint64) << np.uint64(8 * i)
+        slot = (mix(keys) >> np.uint64(64 - self._BITS)).astype(np.int64)
+        numbers = self.held[slot]
+        rest = np.flatnonzero((self.keys[slot] != keys) | (length > 7))
+        number = self.number
+        numbers[rest] = np.fromiter((number(data[a:b]) for a, b in zip(start[rest].tolist(), end[rest].tolist())), np.int64, len(rest))
+        # of several slices with one place in the table one wins; equal keys have equal numbers
+        short = rest[length[rest] <= 7]
+        self.keys[slot[short]] = keys[short]
+        won = short[self.keys[slot[short]] == keys[short]]
+        self.held[slot[won]] = numbers[won]
+        return numbers
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids begin (with the end)."""
         if len(self.cache) > self.most:
             self.forget()
-        texts = [_LONE.sub("�", t) if t else "" for t in texts]
+        texts = [_LONE.sub("\ufffd", t) if t else "" for t in texts]
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         ends = np.cumsum(lengths)
         # U+0000 holds the places of the separators in the joined text
         joined = "\0".join(texts) + "\0"
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int32)
+        widths = np.ones(len(points) + 1, np.int64)
+        widths[0] = 0
+        wide = np.flatnonzero(points > 0x7F)
+        widths[wide + 1] += 1 + (points[wide] > 0x7FF) + (points[wide] > 0xFFFF)
+        octet = np.cumsum(widths)
         points[ends - 1] = 0x110000
         starts = slice_starts(points)
         edges = np.searchsorted(starts, ends - 1)  # slice number of each separator
-        bounds = starts.tolist()
-        get, new = self.cache.get, self.number
-        numbers = np.fromiter((n if (n := get(p := joined[a:b])) is not None else new(p) for a, b in zip(bounds, bounds[1:])), np.int64, len(bounds) - 1)
-        first, flat = np.array(self.first), np.array(self.flat, np.int32)
+        bounds = octet[starts]
+        numbers = self._numbers(joined.encode("utf-8"), bounds[:-1], bounds[1:])
+        first, flat = np.array(self.first, np.int64), np.array(self.flat, np.int32)
         count = first[numbers + 1] - first[numbers]
         count[edges] = 0
         total = np.concatenate([[0], np.cumsum(count)])
