@@ -146,12 +146,18 @@ def classified(df: DataFrame, layouts: tuple[Layout, ...] = (RANKING, VISIT), ta
     return read.withColumn("__mr_reason", reason).withColumns(typed).drop("__mr_text", "__mr_fields", "__mr_taken", *[f"__mr_p{x.tag}" for x in layouts])
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """Keeps filters above the classification: pushed below, they would repeat its
+    expressions, the reader's among them, dozens of times."""
+    return rows.withColumn("__mr_part", F.spark_partition_id()).where("__mr_part >= 0")
+
+
 def rejected(df: DataFrame, **names: str) -> DataFrame:
     """The failing rows as they were, with ``reason``."""
-    return classified(df, **names).where("__mr_reason IS NOT NULL").select(*[F.col(c) for c in df.columns if c != "reason"], F.col("__mr_reason").alias("reason"))
+    return _settled(classified(df, **names)).where("__mr_reason IS NOT NULL").select(*[F.col(c) for c in df.columns if c != "reason"], F.col("__mr_reason").alias("reason"))
 
 
 def valid_rows(df: DataFrame, layout: Layout, id_col: str, **names: str) -> DataFrame:
     """The valid rows of one layout: the id and the typed fields."""
-    rows = classified(df, **names).where(F.col("__mr_reason").isNull() & F.col(f"__mr_t{layout.tag}").isNotNull())
+    rows = _settled(classified(df, **names)).where(F.col(f"__mr_t{layout.tag}").isNotNull())
     return rows.select(id_col, F.col(f"__mr_t{layout.tag}.*"))
