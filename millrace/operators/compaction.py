@@ -113,7 +113,10 @@ def consolidate(planned: DataFrame, out_dir: str) -> DataFrame:
         _publish(place, temporary, path)
         return pd.DataFrame({"name": pdf["name"], "path": pdf["path"], "out_file": name, "out_bytes": size, "out_blocks": meta.num_row_groups, "out_rows": meta.num_rows, "rows": rows})
 
-    return planned.groupBy("area", "output").applyInPandas(one, "name STRING, path STRING, out_file STRING, out_bytes BIGINT, out_blocks BIGINT, out_rows BIGINT, rows BIGINT")
+    # rows of the plan are few bytes and much work: partitions follow the number of outputs, not
+    # the size of the rows, and a fixed number isn't coalesced
+    outputs = planned.select("area", "output").distinct().count()
+    return planned.repartition(max(1, 2 * outputs), "area", "output").groupBy("area", "output").applyInPandas(one, "name STRING, path STRING, out_file STRING, out_bytes BIGINT, out_blocks BIGINT, out_rows BIGINT, rows BIGINT")
 
 
 def hash_text(text: str) -> int:
