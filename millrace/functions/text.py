@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators.malformed import strict_cast
 
-#: Unicode white space, as a character class. Fixed values.
-WHITE = r"[\t-\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Unicode white space, the inside of a character class. Fixed values.
+WHITE = r"\t-\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def sanitized(text: Column) -> Column:
@@ -16,14 +16,15 @@ def sanitized(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[^a-zA-Z0-9\s]+", " "))
 
 
-def tokens(text: Column, separator: str = WHITE + "+") -> Column:
-    """The non-empty pieces between separators, as an array; null text gives null."""
-    return F.filter(F.split(text, separator, -1), lambda t: t != "")
+def tokens(text: Column, member: str = f"[^{WHITE}]") -> Column:
+    """The maximal runs of member characters (by default of anything but white space), as an
+    array; null text gives null. Matching tokens is several times faster than splitting."""
+    return F.regexp_extract_all(text, F.lit(member + "+"), F.lit(0))
 
 
 def words(text: Column) -> Column:
-    """Tokens of the sanitized text in one regex pass (lower-casing comes after the split)."""
-    return F.transform(tokens(text, "[^a-zA-Z0-9]+"), F.lower)
+    """Tokens of the sanitized text in one regex pass (lower-casing comes after the match)."""
+    return F.transform(tokens(text, "[a-zA-Z0-9]"), F.lower)
 
 
 def fields(text: Column, separator: str = ",") -> Column:

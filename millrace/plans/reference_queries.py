@@ -11,7 +11,7 @@ from millrace.functions.hashing import fnv1_bin
 from millrace.functions.text import fixed6, prefix, strict_date, strict_float, strict_int, tokens, words
 from millrace.operators import aggregates, filters, joins, shuffle
 from millrace.plans.job import Job, Pipeline, map_pairs, reduce_pairs
-from millrace.session import scratch
+from millrace.session import scratch, spread
 from millrace.sources.sinks import write_key_value
 from millrace.sources.text import delimited, key_value, union_inputs
 from millrace.streaming.counts import windowed_counts
@@ -21,11 +21,13 @@ _STRINGS = ("order", "customer", "price", "day")
 
 
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.count_by(load(spark, sf_dir, "documents").select(F.explode(words(F.col("text"))).alias("word")), "word")
+    found = spread(load(spark, sf_dir, "documents").select("text")).select(F.explode(words(F.col("text"))).alias("word"))
+    return aggregates.count_by(found, "word")
 
 
 def tokenize_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.count_by(load(spark, sf_dir, "documents").select(F.explode(tokens(F.col("text"))).alias("token")), "token")
+    found = spread(load(spark, sf_dir, "documents").select("text")).select(F.explode(tokens(F.col("text"))).alias("token"))
+    return aggregates.count_by(found, "token")
 
 
 def scan_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +131,7 @@ def _count_pairs(df: DataFrame) -> DataFrame:
 
 
 def _text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select(F.lit("").alias("key"), F.col("text").alias("value"))
+    return spread(load(spark, sf_dir, "documents").select("text")).select(F.lit("").alias("key"), F.col("text").alias("value"))
 
 
 def multi_stage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy a row: an input of fewer partitions than cores is spread over
+    all of them. A large input has more and is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_folder(spark: SparkSession, place: str) -> None:
     """Delete a folder on whatever file system it lies."""
     jvm = spark.sparkContext._jvm
