@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.rolling import Hasher, U, mix
+from millrace.session import spread
 
 WORDS = 13
 #: Kept positions are 1. Position i is ignored by the mask of i modulo 3.
@@ -152,6 +153,7 @@ def find_leaks(
 
         return corpus.mapInPandas(work, schema)
 
+    corpus = spread(corpus)
     passes, held = [], []
     for r in rows.toLocalIterator():
         held.append((r.i, r.t))

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace.llm.rolling import Hasher, code_points, window_runs
-from millrace.session import written
+from millrace.session import spread, written
 
 SPAN = 300
 _RUN = "doc BIGINT, anchor BIGINT, content BIGINT, start BIGINT, windows BIGINT, again BOOLEAN"
@@ -50,7 +50,7 @@ def runs(docs: DataFrame, span: int = SPAN, gram: int | None = None) -> DataFram
             yield pd.DataFrame({"doc": b["doc"].to_numpy()[r["text"]], "anchor": _signed(r["anchor"]), "content": _signed(r["content"]), "start": r["start"], "windows": r["windows"], "again": r["again"]})
 
     long_enough = docs.where(F.length("text") >= span)
-    return long_enough.mapInPandas(work, _RUN)
+    return spread(long_enough).mapInPandas(work, _RUN)
 
 
 def keep_listed(df: DataFrame, keys: DataFrame, key: str, most: int = 4_000_000) -> DataFrame:

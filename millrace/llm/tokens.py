@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.rolling import mix
+from millrace.session import spread
 
 DEFAULT_FOLDER = "/opt/tokenizers"
 #: White_Space of Unicode. Fixed values.
@@ -292,7 +293,7 @@ def _chunks(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int,
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = DEFAULT_FOLDER, offsets: bool = False) -> DataFrame:
     """(doc_id, ids ARRAY<INT>), one row per row of the table; with ``offsets`` also
     ``ends`` ARRAY<INT>, the exclusive byte offset in the UTF-8 text of each token.
-    A narrow map without shuffle; each Python worker reads the vocabulary once from ``folder``."""
+    A narrow map (small inputs are spread over all cores); each Python worker reads the vocabulary once from ``folder``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = kept_vocabulary(f"{folder}/{vocabulary}")
@@ -309,4 +310,4 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *lists], names=["doc_id", "ids", "ends"][: 1 + len(lists)])
 
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(work, "doc_id BIGINT, ids ARRAY<INT>" + ", ends ARRAY<INT>" * offsets)
+    return spread(docs).mapInArrow(work, "doc_id BIGINT, ids ARRAY<INT>" + ", ends ARRAY<INT>" * offsets)
