@@ -34,6 +34,7 @@ WORDS = 13
 #: Kept positions are 1. Position i is ignored by the mask of i modulo 3.
 MASKS = ("0110110110110", "1011011011011", "1101101101101")
 _FILTER_BITS = 22
+_SEGMENT = 1 << 21
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.zeros(256, bool)
@@ -56,7 +57,13 @@ class Words:
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         lengths = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
         self.text = np.searchsorted(np.cumsum(lengths), self.start, side="right")
-        self.hash = Hasher(points).at(self.start, self.end) if len(self.start) else np.zeros(0, U)
+        # a word's hash doesn't depend on its place, so long data is hashed in segments
+        self.hash = np.zeros(len(self.start), U)
+        cuts = np.searchsorted(self.start, np.arange(0, len(points), _SEGMENT))
+        for a, b in zip(cuts, [*cuts[1:], len(self.start)]):
+            if a < b:
+                lo = self.start[a]
+                self.hash[a:b] = Hasher(points[lo : self.end[b - 1]]).at(self.start[a:b] - lo, self.end[a:b] - lo)
 
     def seeds(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """By mask: the first words of whole windows and their masked hashes."""

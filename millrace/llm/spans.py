@@ -66,10 +66,10 @@ def _single_windows(docs: DataFrame, classes: DataFrame, span: int) -> DataFrame
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for text, picks in zip(b["text"], b["picks"]):
-                every = Hasher(code_points(text)).every(span)
                 for p in picks:
                     n, at = p["windows"], p["start"]
-                    yield pd.DataFrame({"anchor": np.full(n, p["anchor"]), "content": np.full(n, p["content"]), "least": np.full(n, p["least"]), "most": np.full(n, p["most"]), "window": _signed(every[at : at + n]), "at": np.arange(n)})
+                    every = Hasher(code_points(text[at : at + n + span - 1])).every(span)
+                    yield pd.DataFrame({"anchor": np.full(n, p["anchor"]), "content": np.full(n, p["content"]), "least": np.full(n, p["least"]), "most": np.full(n, p["most"]), "window": _signed(every), "at": np.arange(n)})
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows = [], 0

@@ -279,6 +279,21 @@ def kept_vocabulary(path: str) -> Vocabulary:
 _LONE = re.compile("[\ud800-\udfff]")
 
 
+#: Longer texts are encoded piece by piece.
+LONG = 1 << 22
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def pieces(text: str, size: int) -> Iterator[str]:
+    """A long text cut before single blanks between solid characters, where slices begin
+    whatever stands around; pieces are longer than ``size`` only where there is no such place."""
+    lo = 0
+    while len(text) - lo > size and (cut := _CUT.search(text, lo + size)):
+        yield text[lo : cut.start()]
+        lo = cut.start()
+    yield text[lo:]
+
+
 def _chunks(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     lo = held = 0
     for i, t in enumerate(texts):
@@ -301,7 +316,12 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in _chunks(texts):
-                ids, at = vocab.encode(texts[lo:hi])
+                if any(t and len(t) > LONG for t in texts[lo:hi]):
+                    parts = [[vocab.encode([p])[0] for p in pieces(t or "", LONG // 4)] for t in texts[lo:hi]]
+                    ids = np.concatenate([x for part in parts for x in part])
+                    at = np.cumsum([0, *(sum(map(len, part)) for part in parts)])
+                else:
+                    ids, at = vocab.encode(texts[lo:hi])
                 lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))]
                 if offsets:
                     ends = np.cumsum(widths[ids], dtype=np.int64)

@@ -66,6 +66,15 @@ def test_repeats_and_long_texts(spark):
     assert {tuple(r) for r in leaks.leaked_documents(d, i).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
 
 
+def test_segments_do_not_matter(monkeypatch):
+    text = "one two  three-four " * 30 + "x" * 50 + " five"
+    whole = leaks.Words([text, None, text])
+    monkeypatch.setattr(leaks, "_SEGMENT", 16)
+    cut = leaks.Words([text, None, text])
+    assert (whole.hash == cut.hash).all() and (whole.hash[: len(whole.hash) // 2] == whole.hash[len(whole.hash) // 2 :]).all()
+    assert len(set(whole.hash.tolist())) == 6
+
+
 def test_empty(spark):
     d, i = frames(spark, [(1, "a " * 20)], [(1, "a " * 20)])
     assert leaks.leaked_documents(d.limit(0), i).collect() == [] and leaks.leaked_documents(d, i.limit(0)).collect() == []

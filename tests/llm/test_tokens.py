@@ -80,6 +80,21 @@ def test_cache_bound(other):
         assert lists(small, texts) == [other.encode_ordinary(x) for x in texts]
 
 
+def test_pieces_do_not_matter(spark, other, monkeypatch):
+    text = "".join(ALPHABET[i * i % 37] + (" b" if i % 5 == 0 else "") for i in range(700))
+    for size in (1, 20, 300):
+        assert "".join(t.pieces(text, size)) == text
+        assert [i for p in t.pieces(text, size) for i in other.encode_ordinary(p)] == other.encode_ordinary(text)
+    assert len(list(t.pieces(text, 20))) > 20 and list(t.pieces("a" * 50, 20)) == ["a" * 50]
+
+
+def test_very_long_text(spark, other):
+    text = "word don't  stop\n" * 300_000
+    rows = spark.createDataFrame([(1, "a"), (2, text), (3, None)], "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r.ids for r in t.encode_corpus(rows.coalesce(1)).collect()}
+    assert got == {1: [64], 2: other.encode_ordinary(text), 3: []}
+
+
 def test_table(spark, vocab):
     rows = [(1, None, 5, "x"), (2, "", 6, "x"), (3, " \n", 7, "x"), (4, "Hello 日本's", 8, "x"), (4, "Hello 日本's", 8, "x"), (None, "a", 9, "x"), (5, "w " * 300_000, 1, "x")]
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, ids INT, ends STRING")
