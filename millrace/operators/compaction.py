@@ -82,7 +82,12 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _publish(place: pafs.FileSystem, temporary: str, final: str) -> None:
-    place.move(temporary, final)
+    """Rename over what an earlier attempt of the same task may have left."""
+    try:
+        place.move(temporary, final)
+    except OSError:  # some file systems don't rename onto a file
+        place.delete_file(final)
+        place.move(temporary, final)
 
 
 def consolidate(planned: DataFrame, out_dir: str) -> DataFrame:

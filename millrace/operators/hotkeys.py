@@ -8,6 +8,10 @@ combined before the shuffle, at most 65,536 rows per key and partition), a runni
 finds the digit that holds the wanted rank, and only keys not resolved yet go on. A
 bucket whose least and greatest value are equal resolves at once. The values of a key
 are never gathered, and four levels always suffice.
+
+Defined results: null keys are keys and the empty text is one; values that aren't finite
+numbers count as rows but not as numbers; ties have one rank each, -0 counts as 0; repeated
+rows count as stored; empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
