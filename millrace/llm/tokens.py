@@ -151,6 +151,11 @@ class Vocabulary:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pieces = {i: p for p, i in self.ranks.items()}
+        self.octets = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        # all pairs of entries that together are an entry, sorted
+        ranks = self.ranks
+        joins = sorted((a << 32 | b, i) for p, i in ranks.items() for k in range(1, len(p)) if (a := ranks.get(p[:k])) is not None and (b := ranks.get(p[k:])) is not None)
+        self.pairs, self.joined = np.array([k for k, _ in joins], np.int64), np.array([i for _, i in joins], np.int64)
         self.most = most
         self.forget()
 
@@ -159,30 +164,54 @@ class Vocabulary:
         self.flat, self.first = array("i"), array("q", [0])
         self.keys, self.held = np.zeros(1 << self._BITS, np.uint64), np.zeros(1 << self._BITS, np.int64)
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Joins the neighbouring pair of lowest rank, the leftmost of equals, until none is in the vocabulary."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        if len(piece) > 64:
-            return self._merge_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(a + b, 1 << 30) for a, b in zip(parts, parts[1:])]
-        while pairs:
-            low = min(pairs)
-            if low == 1 << 30:
-                break
-            i = pairs.index(low)
-            parts[i] += parts.pop(i + 1)
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 30)
-            if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 30)
-        return [ranks[p] for p in parts]
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.joined[at], _NONE)
+
+    def merge(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many slices, (slice number, id) in order: in each round every slice joins its
+        neighbouring pair of lowest rank, the leftmost of equals, until no slice has one."""
+        lengths = np.fromiter(map(len, slices), np.int64, len(slices))
+        ids = self.octets[np.frombuffer(b"".join(slices), np.uint8)]
+        owner = np.repeat(np.arange(len(slices)), lengths)
+        done = []
+        ranks = np.full(len(ids), _NONE)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        ranks[inner] = self._pair_ranks(ids[inner], ids[inner + 1])
+        while len(ids):
+            start = np.flatnonzero(np.diff(owner, prepend=-1))
+            low = np.minimum.reduceat(ranks, start)
+            low = np.repeat(low, np.diff(start, append=len(ids)))
+            if (ended := low == _NONE).any():
+                done.append((owner[ended], ids[ended]))
+                going = ~ended
+                ids, owner, ranks, low = ids[going], owner[going], ranks[going], low[going]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(ranks == low)
+            at = at[np.diff(owner[at], prepend=-1) != 0]
+            ids[at] = ranks[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, owner, ranks = ids[keep], owner[keep], ranks[keep]
+            at -= np.arange(len(at))
+            # the joined entry has a new pair on either side
+            for left in (at, at - 1):
+                inside = (left >= 0) & (left + 1 < len(ids))
+                left = left[inside]
+                pair = owner[left] == owner[left + 1]
+                ranks[left[~pair]] = _NONE
+                ranks[left[pair]] = self._pair_ranks(ids[left[pair]], ids[left[pair] + 1])
+            ranks[-1] = _NONE
+        if not done:
+            return owner, ids
+        owner, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(owner, kind="stable")
+        return owner[order], ids[order]
 
     def _merge_long(self, piece: bytes) -> list[int]:
-        """The same with a heap and a linked list: O(n log n) for slices of any length."""
+        """The same for one slice with a heap and a linked list: O(n log n) for any length."""
         ranks, n = self.ranks, len(piece)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -205,13 +234,26 @@ class Vocabulary:
             i = end[i]
         return out
 
-    def number(self, piece: bytes) -> int:
-        """Cache number of a slice."""
-        if (n := self.cache.get(piece)) is None:
-            self.flat.extend(self.merge(piece))
-            self.first.append(len(self.flat))
-            self.cache[piece] = n = len(self.first) - 2
-        return n
+    def _learn(self, slices: list[bytes]) -> None:
+        """Merge slices that aren't in the cache and keep them."""
+        parts = []
+        whole = [(k, i) for k, p in enumerate(slices) if (i := self.ranks.get(p)) is not None]
+        parts.append((np.array([k for k, _ in whole], np.int64), np.array([i for _, i in whole], np.int64)))
+        rest = np.array([k for k, p in enumerate(slices) if p not in self.ranks and len(p) <= _SHORT], np.int64)
+        if len(rest):
+            number, ids = self.merge([slices[k] for k in rest])
+            parts.append((rest[number], ids))
+        for k, p in enumerate(slices):
+            if len(p) > _SHORT and p not in self.ranks:
+                ids = np.array(self._merge_long(p), np.int64)
+                parts.append((np.full(len(ids), k), ids))
+        owner, ids = (np.concatenate(x) for x in zip(*parts))
+        ids = ids[np.argsort(owner, kind="stable")].astype(np.int32)
+        ends = len(self.flat) + np.cumsum(np.bincount(owner, minlength=len(slices)))
+        base = len(self.first) - 1
+        self.flat.frombytes(ids.tobytes())
+        self.first.frombytes(ends.astype(np.int64).tobytes())
+        self.cache.update(zip(slices, range(base, base + len(slices))))
 
     def _numbers(self, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Cache numbers of all slices, given by byte ranges."""
@@ -223,8 +265,10 @@ class Vocabulary:
         slot = (mix(keys) >> np.uint64(64 - self._BITS)).astype(np.int64)
         numbers = self.held[slot]
         rest = np.flatnonzero((self.keys[slot] != keys) | (length > 7))
-        number = self.number
-        numbers[rest] = np.fromiter((number(data[a:b]) for a, b in zip(start[rest].tolist(), end[rest].tolist())), np.int64, len(rest))
+        slices = [data[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist())]
+        if new := [p for p in dict.fromkeys(slices) if p not in self.cache]:
+            self._learn(new)
+        numbers[rest] = np.fromiter(map(self.cache.__getitem__, slices), np.int64, len(rest))
         # of several slices with one place in the table one wins; equal keys have equal numbers
         short = rest[length[rest] <= 7]
         self.keys[slot[short]] = keys[short]
@@ -276,6 +320,9 @@ def kept_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+_NONE = np.int64(1 << 40)
+#: Longer slices are merged one by one.
+_SHORT = 64
 _LONE = re.compile("[\ud800-\udfff]")
 
 
