@@ -17,6 +17,7 @@ rows count as stored; empty tables give empty results. Other columns are ignored
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -66,11 +67,12 @@ def dominant_keys(df: DataFrame, group: Sequence[str], keys: Sequence[str], shar
     """Keys that hold at least ``share`` of the rows of their group, with the columns ``by``
     (a key's rows may differ in them: each value is reported). Null groups and keys
     count as values. Counts combine before both shuffles."""
+    part = Fraction(repr(share))  # 0.1 means a tenth, not the nearest double
     counts = df.groupBy(*group, *keys, *by).agg(F.count("*").alias("__n"))
     per_key = counts.groupBy(*group, *keys).agg(F.sum("__n").alias("__n"), *[F.collect_set(F.struct(c)).alias(f"__s_{c}") for c in by])
     per_group = per_key.groupBy(*[F.col(g).alias(f"__g_{g}") for g in group]).agg(F.sum("__n").alias("__all"))
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group])
-    top = per_key.join(per_group, same).where(F.col("__n") >= F.lit(share) * F.col("__all"))
+    top = per_key.join(per_group, same).where(F.col("__n") * part.denominator >= F.col("__all") * part.numerator)
     for c in by:
         top = top.withColumn(f"__s_{c}", F.explode(f"__s_{c}")).withColumn(c, F.col(f"__s_{c}.{c}"))
     return top.select(*group, *by, *keys)
