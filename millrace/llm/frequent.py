@@ -21,6 +21,7 @@ a top-k go to the smaller item; an empty table has no items.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -68,6 +69,7 @@ def _pass(items: DataFrame, choose: Callable[[LocalCounts], list[str] | None], m
 
 def _at_least(local: LocalCounts, bound: float) -> list[str] | None:
     """None where dropped items could reach the bound: it is too low for bounded memory."""
+    bound *= 1 - 1e-12  # rounding of the share must not lose an item
     if local.error >= bound and local.error:
         return None
     return [i for i, n in local.counts.items() if n + local.error >= bound]
@@ -87,7 +89,8 @@ def items_above(df: DataFrame, column: str, share: float, most: int = 1 << 20, b
     items = df.select(F.col(column).cast("string").alias("item"))
     sent = written(_pass(items, lambda c: _at_least(c, share * c.rows), most), "leaders")
     rows = sent.agg(F.coalesce(F.sum("node_rows"), F.lit(0))).first()[0]
-    return _exact(items, sent, broadcast_rows).where(F.col("n") >= share * rows)
+    part = Fraction(repr(share))  # 0.005 means one in 200, not the nearest double
+    return _exact(items, sent, broadcast_rows).where(F.col("n") * part.denominator >= part.numerator * rows)
 
 
 def top_items(df: DataFrame, column: str, k: int, most: int = 1 << 20, broadcast_rows: int = 200_000) -> DataFrame:
