@@ -83,4 +83,18 @@ def oracle_sql() -> dict[str, str]:
             dw AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
             iw AS (SELECT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))
             SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
+        # 13 words with one substituted hold six equal ones in a row; along their diagonals runs of equal words
+        # are found, and neighbouring runs with one word between them
+        "p8_overlaps": f"""
+            WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+            dw AS (SELECT doc_id, k, array_to_string(w[k:k + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS k FROM d)),
+            iw AS (SELECT item_id, k, array_to_string(w[k:k + 5], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS k FROM i)),
+            diagonals AS (SELECT DISTINCT doc_id, item_id, dw.k - iw.k AS s FROM dw JOIN iw USING (g)),
+            cells AS (SELECT doc_id, item_id, s, d.w AS dw, i.w AS iw, unnest(range(1, len(i.w) + 1)) AS k FROM diagonals JOIN d USING (doc_id) JOIN i USING (item_id)),
+            equal AS (SELECT doc_id, item_id, s, k, k - row_number() OVER (PARTITION BY doc_id, item_id, s ORDER BY k) AS run FROM cells WHERE s + k >= 1 AND dw[s + k] = iw[k]),
+            runs AS (SELECT doc_id, item_id, s, min(k) AS a, max(k) AS b FROM equal GROUP BY doc_id, item_id, s, run),
+            spans AS (SELECT *, b - a + 1 AS one, CASE WHEN lead(a) OVER w = b + 2 THEN lead(b) OVER w - a + 1 END AS two FROM runs WINDOW w AS (PARTITION BY doc_id, item_id, s ORDER BY a)),
+            best AS (SELECT doc_id, item_id, max(one) AS one, CASE WHEN max(two) > max(one) THEN {{'n': -max(two), 'u': 1}} ELSE {{'n': -max(one), 'u': 0}} END AS o FROM spans GROUP BY doc_id, item_id, s)
+            SELECT doc_id, item_id, CAST(max(one) AS INT) AS exact_words, CAST(-min(o).n AS INT) AS overlap_words, CAST(min(o).u AS INT) AS substituted
+            FROM best WHERE o.n <= -13 GROUP BY doc_id, item_id""",
     }
