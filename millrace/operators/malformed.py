@@ -1,7 +1,8 @@
 """Rows that fail to parse, apart from the valid ones, each with its reason.
 
 The text is read permissively under an explicit schema with the corrupt text kept
-(``from_csv``). A row is taken as read only if the reader found nothing corrupt and
+(``from_csv``), if it has as many commas as its layout asks for, so no text can exceed
+what the reader bears. A row is taken as read only if the reader found nothing corrupt and
 the text has the plain shape of its type (no quotes, right number of fields, ASCII
 numbers, ``yyyy-MM-dd``), for the reader itself is more lenient than the rules. All
 others are classified again, exactly, by quoting, count and cast checks. Everything is
@@ -55,7 +56,7 @@ VISIT = Layout(
     (("sourceip", "string"), ("desturl", "string"), ("visitdate", "date"), ("adrevenue", "double"), ("useragent", "string"), ("countrycode", "string"), ("languagecode", "string"), ("searchword", "string"), ("duration", "bigint")),
     "desturl",
 )
-_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "quote": '"', "escape": '"', "nullValue": "\x00", "dateFormat": "yyyy-MM-dd", "maxColumns": "1048576"}
+_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "quote": '"', "escape": '"', "nullValue": "\x00", "dateFormat": "yyyy-MM-dd"}
 
 
 def chomp(value: Column) -> Column:
@@ -111,7 +112,8 @@ def classified(df: DataFrame, layouts: tuple[Layout, ...] = (RANKING, VISIT), ta
     typed fields of its valid rows."""
     text, kind = F.col("__mr_text"), F.col(tag)
     rows = df.withColumn("__mr_text", chomp(F.col(value)))
-    read = rows.withColumns({f"__mr_p{x.tag}": F.when(kind == x.tag, F.from_csv(text, x.schema, _OPTIONS)) for x in layouts})
+    commas = F.length(text) - F.length(F.replace(text, F.lit(",")))
+    read = rows.withColumns({f"__mr_p{x.tag}": F.when((kind == x.tag) & (commas == len(x.fields) - 1), F.from_csv(text, x.schema, _OPTIONS | {"maxColumns": str(len(x.fields) + 1)})) for x in layouts})
     # the fields only of rows that aren't taken as read
     taken = F.lit(False)
     for x in layouts:

@@ -99,6 +99,11 @@ def test_cases(spark):
     check(spark, CASES)
 
 
+def test_no_row_fails_the_job(spark):
+    many = "," * 20_000
+    check(spark, [("0", "u", "," * 2_000_000), ("1", "u", "," * 2_000_000), ("0", "u", "u,1,2"), ("0", many, f'"{many}",1,2'), ("1", "u", VISIT.replace(",a,", f',"{many}",')), ("0", "u", "\n" * 100_000 + ",,"), ("0", "u", '"' * 99_999)])
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from(["0", "1", "01", None]), st.sampled_from(["u", "", ",", '"', None]), st.lists(st.sampled_from(['"', '""', ",", "u", "1", "\n", "\r", " ", "\x01", "b", "2001-01-01"]), max_size=12).map("".join)), min_size=1, max_size=60))
 def test_random(spark, rows):
