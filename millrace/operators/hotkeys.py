@@ -3,11 +3,13 @@
 Counts and sums combine before the shuffle, so a hot key travels as one row per
 input partition. Quantiles per key are exact: value histograms are refined level by
 level. A value is cut into 16-bit digits of its order-preserving 64-bit image; each
-level counts the digits below the prefix chosen so far (mergeable counts, again
-combined before the shuffle, at most 65,536 rows per key and partition), a running sum
-finds the digit that holds the wanted rank, and only keys not resolved yet go on. A
-bucket whose least and greatest value are equal resolves at once. The values of a key
-are never gathered, and four levels always suffice.
+level counts the digits below the prefixes chosen so far (mergeable counts, always
+combined before they are shuffled, at most 65,536 rows per prefix and partition), a
+running sum finds the digit that holds the wanted rank, and only keys not resolved
+yet go on. A digit whose least and greatest value are equal resolves at once, and four
+levels always suffice. Open prefixes are broadcast if they are few (``session.if_small``);
+else all digits of the level are counted and the counts, not the rows, are joined with
+them. The values of a key are never gathered: no row is shuffled uncombined.
 
 Defined results: null keys are keys and the empty text is one; values that aren't finite
 numbers count as rows but not as numbers; ties have one rank each, -0 counts as 0; repeated
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace.operators.malformed import strict_cast
-from millrace.session import written
+from millrace.session import if_small, release, written
 
 _DIGIT = 16
 _LEVELS = 4
@@ -54,12 +56,13 @@ def _preimage(x: pd.Series) -> pd.Series:
 
 def key_totals(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     """Per key: rows, numeric rows and the sum of numeric values. Sums are taken as
-    DECIMAL(38,12) of the text, so their order doesn't matter; a key with a number beyond
-    1e20 sums in doubles. A null key is a key; a key without numbers sums to 0."""
+    DECIMAL(38,12) of the text, so their order doesn't matter; a key with a number of 1e20
+    or more, or whose sum leaves that type, sums in doubles, in any order. A null key is a
+    key; a key without numbers sums to 0."""
     v = numeric(value)
     wide = F.max(F.abs(v)) >= 1e20
-    exact = F.sum(F.when(F.abs(v) < 1e20, value.try_cast("decimal(38,12)"))).cast("double")
-    total = F.coalesce(F.when(wide, F.sum(v)).otherwise(exact), F.lit(0.0))
+    exact = F.try_sum(F.when(F.abs(v) < 1e20, value.try_cast("decimal(38,12)"))).cast("double")
+    total = F.coalesce(F.when(~wide, exact), F.sum(v), F.lit(0.0))
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count(v).alias("n_numbers"), total.alias("total"))
 
 
@@ -78,45 +81,57 @@ def dominant_keys(df: DataFrame, group: Sequence[str], keys: Sequence[str], shar
     return top.select(*group, *by, *keys)
 
 
-def _quotient(share: float) -> tuple[int, int]:
-    return round(share * 1_000_000), 1_000_000
+def _rank(n: str, prob: float) -> Column:
+    """``max(1, ceil(prob * n))`` in integers; 0.1 means a tenth, not the nearest double."""
+    part = Fraction(repr(prob))
+    if not 0 <= part <= 1 or part.denominator > 10**18:
+        raise ValueError(f"{prob} isn't a probability of at most 18 decimals")
+    over = f"CAST({n} AS DECIMAL(19,0)) * CAST({part.numerator} AS DECIMAL(19,0)) + {part.denominator - 1}BD"
+    return F.greatest(F.lit(1).cast("bigint"), F.expr(f"({over}) div {part.denominator}BD"))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: Sequence[float] = (0.5, 0.9)) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: Sequence[float] = (0.5, 0.9), few: int | None = None) -> DataFrame:
     """(keys, n_numbers, prob, quantile): for each key and probability the value of rank
     ``max(1, ceil(prob * n))`` among the key's numbers; keys without numbers have no row.
-    NaN and infinities aren't numbers; null keys are keys."""
-    names = [f"__k{i}" for i in range(len(keys))]
-    base = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], value.alias("__v")).where("__v IS NOT NULL AND abs(__v) < double('Infinity')")
+    NaN and infinities aren't numbers; null keys are keys. At most ``few`` open prefixes
+    are broadcast (by default ``session.if_small`` decides)."""
+    # a struct of nulls is no null, so plain equality serves joins and groups alike
+    whole = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    base = df.select(whole.alias("__k"), value.alias("__v")).where("__v IS NOT NULL AND abs(__v) < double('Infinity')")
     data = written(base.withColumn("__b", _image("__v")).drop("__v"), "numbers")
+    limits = {} if few is None else {"rows": few}
 
-    def match(a: DataFrame, b: DataFrame) -> Column:
-        return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
+    def prefix(level: int) -> Column:
+        return F.shiftright("__b", 64 - _DIGIT * (level + 1))
 
-    open_, done, rows = None, [], data
+    open_, done = None, []
     for level in range(_LEVELS):
-        shift = 64 - _DIGIT * (level + 1)
-        digit = F.shiftright("__b", shift)  # the prefix so far and the next digit
-        part = names if open_ is None else [*names, "__prefix"]
+        rows, wanted, parents = data.withColumn("__digit", prefix(level)), None, []
         if open_ is not None:
-            # only rows under an open prefix go on
-            under = F.shiftright("__b", shift + _DIGIT)
-            wanted = open_.select(*names, "__prefix").distinct()
-            rows = data.join(wanted, match(data, wanted) & (under == wanted["__prefix"]), "left_semi").withColumn("__prefix", under)
-        hist = rows.groupBy(*part, digit.alias("__digit")).agg(F.count("*").alias("__n"), F.min("__b").alias("__lo"), F.max("__b").alias("__hi"))
-        w = Window.partitionBy(*part).orderBy("__digit")
-        hist = hist.withColumn("__upto", F.sum("__n").over(w)).withColumn("__all", F.sum("__n").over(Window.partitionBy(*part)))
+            parents = ["__parent"]
+            wanted = open_.select("__k", "__parent").distinct()
+            rows = rows.withColumn("__parent", prefix(level - 1))
+            if (sent := if_small(wanted, F.col("__k").cast("string"), **limits)) is not None:
+                rows = rows.join(sent, ["__k", "__parent"], "left_semi")
+                wanted = None
+        # the digit is the whole prefix with it, so it names its parent
+        hist = rows.groupBy("__k", *parents, "__digit").agg(F.count("*").alias("__n"), F.min("__b").alias("__lo"), F.max("__b").alias("__hi"))
+        if wanted is not None:
+            hist = hist.join(wanted, ["__k", "__parent"], "left_semi")
+        # at most 65,536 rows under a prefix
+        under = Window.partitionBy("__k", *parents)
+        hist = hist.withColumn("__upto", F.sum("__n").over(under.orderBy("__digit")))
         if open_ is None:
-            ranks = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.greatest(F.lit(1), F.ceil(F.col("__all") * _quotient(p)[0] / _quotient(p)[1])).cast("bigint").alias("rank")) for p in probs]))
-            found = hist.withColumn("__r", ranks).withColumn("__prob", F.col("__r.prob")).withColumn("__rank", F.col("__r.rank")).withColumn("__total", F.col("__all"))
+            ranks = [F.struct(F.lit(float(p)).alias("prob"), _rank("__total", p).alias("rank")) for p in probs]
+            found = hist.withColumn("__total", F.sum("__n").over(under)).withColumn("__r", F.explode(F.array(*ranks))).withColumn("__prob", F.col("__r.prob")).withColumn("__rank", F.col("__r.rank"))
         else:
-            o = open_.select(*names, "__prefix", "__prob", "__rank", "__total")
-            found = hist.join(o, match(hist, o) & (hist["__prefix"] == o["__prefix"])).select(*[hist[n] for n in names], *[hist[c] for c in ("__digit", "__n", "__lo", "__hi", "__upto")], "__prob", "__rank", "__total")
+            found = hist.join(open_.drop("__lo", "__hi"), ["__k", "__parent"]).drop("__parent")
         held = found.where("__rank <= __upto AND __rank > __upto - __n")
-        held = written(held.select(*names, F.col("__digit").alias("__prefix"), "__prob", (F.col("__rank") - F.col("__upto") + F.col("__n")).alias("__rank"), "__total", "__lo", "__hi"), f"level{level}")
-        done.append(held.where("__lo = __hi").select(*names, "__total", "__prob", "__lo"))
+        held = written(held.select("__k", F.col("__digit").alias("__parent"), "__prob", (F.col("__rank") - F.col("__upto") + F.col("__n")).alias("__rank"), "__total", "__lo", "__hi"), f"level{level}")
+        done.append(held.where("__lo = __hi").select("__k", "__total", "__prob", "__lo"))
         open_ = held.where("__lo < __hi")
         if level == _LEVELS - 1 or open_.isEmpty():
             break
+    release(data)
     out = reduce(DataFrame.unionAll, done)
-    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], F.col("__total").alias("n_numbers"), F.col("__prob").alias("prob"), _preimage("__lo").alias("quantile"))
+    return out.select(*[F.col(f"__k.k{i}").alias(k) for i, k in enumerate(keys)], F.col("__total").alias("n_numbers"), F.col("__prob").alias("prob"), _preimage("__lo").alias("quantile"))
