@@ -34,6 +34,7 @@ def test_random(spark):
     q, p = run(spark, pages, refs)
     want = brute(pages, refs)
     assert {tuple(x) for x in r.orphans(q, p).collect()} == want
+    assert {tuple(x) for x in r.orphans(q, p, most=0).collect()} == want
     report = {(x.src, x.period): x.orphans for x in r.orphan_report(q, p).collect()}
     assert sum(report.values()) == len(want)
     for (src, period), n in report.items():
@@ -48,14 +49,35 @@ def test_boundaries_and_repeats(spark):
     assert sorted(x.row_id for x in r.orphans(q, p).collect()) == [1, 4, 4, 5, 6]
 
 
-def test_states_add_up(spark):
-    d = date(2000, 1, 1)
-    pages = spark.createDataFrame([("a", d, None, "", d)], PAGES)
-    day1 = spark.createDataFrame([("a", d), ("b", d)], "url STRING, day DATE")
-    day2 = spark.createDataFrame([("b", d), ("c", None)], "url STRING, day DATE")
-    one = r.fold(r.reference_deltas(day1))
-    both = r.fold(one.unionByName(r.fold(r.reference_deltas(day2).unionByName(r.listing_deltas(pages)))))
-    assert sorted((x.url, x.refs) for x in r.orphan_keys(both).collect()) == [("b", 2), ("c", 1)]
+def test_states_add_up_day_by_day(spark, tmp_path):
+    """Deltas of each day, withdrawals among them, on a state that is stored and read again, against a rebuild."""
+    rng = random.Random(11)
+    day = lambda: None if rng.random() < 0.1 else date(2000, 1, 1) + timedelta(rng.randrange(30))
+    pages, refs, place = [], [], None
+    for step in range(5):
+        new_pages = [(rng.choice("abcd"), day(), day(), "", None) for _ in range(3)]
+        new_refs = [(rng.choice("st"), rng.choice("abcdefgh"), day()) for _ in range(40)]
+        gone_pages, gone_refs = rng.sample(pages, len(pages) // 3), rng.sample(refs, len(refs) // 2)
+        frame = lambda rows: r.reference_deltas(spark.createDataFrame(rows, "src STRING, url STRING, day DATE"), 1)
+        deltas = [frame(new_refs), r.listing_deltas(spark.createDataFrame(new_pages, PAGES))]
+        # a withdrawal may come before or with what it withdraws
+        deltas += [r.reference_deltas(spark.createDataFrame(gone_refs, "src STRING, url STRING, day DATE"), -1), r.listing_deltas(spark.createDataFrame(gone_pages, PAGES), sign=-1)]
+        state = r.apply_deltas(deltas[2], *deltas[:2], deltas[3]) if place is None else r.apply_deltas(spark.read.parquet(place), *deltas)
+        place = f"{tmp_path}/{step}"
+        state.write.parquet(place)
+        for x in gone_pages:
+            pages.remove(x)
+        for x in gone_refs:
+            refs.remove(x)
+        pages, refs = pages + new_pages, refs + new_refs
+        rows = [(i, url, at, None, None, 1) for i, (_, url, at) in enumerate(refs)]
+        want = {}
+        for _, period, i in brute(pages, rows):
+            want.setdefault((refs[i][0], period), []).append(refs[i][1])
+        got = {(x.src, x.period): (x.orphans, x.urls) for x in r.report(spark.read.parquet(place)).collect()}
+        assert got == {k: (len(v), len(set(v))) for k, v in want.items()}
+    nothing = r.apply_deltas(spark.read.parquet(place), frame(refs).withColumn("refs", -F.col("refs")), r.listing_deltas(spark.createDataFrame(pages, PAGES), sign=-1))
+    assert nothing.collect() == []
 
 
 def test_empty(spark):
