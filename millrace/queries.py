@@ -13,9 +13,17 @@ from millrace.tables import load
 
 
 def p1_method(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of raw_lines consolidated by copying encoded blocks; the files replaced."""
+    """Every line of raw_lines consolidated by copying encoded blocks; the files replaced and their rows."""
     done = compaction.consolidate_lines(load(spark, sf_dir, "raw_lines"))
-    return done.select("name", F.element_at(F.split("out_file", "/"), -1).alias("out_file"), "out_bytes", "out_blocks", "out_rows", "rows")
+    return done.groupBy("name").agg(F.sum("rows").alias("rows"))
+
+
+def p1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as read from the consolidated files."""
+    done = compaction.consolidate_lines(load(spark, sf_dir, "raw_lines"))
+    files = [r.out_file for r in done.select("out_file").distinct().toLocalIterator()]
+    columns = ["file_name", "line_no", "recordtype", "key", "value"]
+    return spark.read.parquet(*files).select(*columns) if files else load(spark, sf_dir, "raw_lines").select(*columns).limit(0)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +70,7 @@ def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_method, p1_found, p2_found, p2_rankings, p2_visits, p5_found, p5_report, p6_method, p6_found, p6_totals)
+    found = (p1_method, p1_found, p1_lines, p2_found, p2_rankings, p2_visits, p5_found, p5_report, p6_method, p6_found, p6_totals)
     return reference_queries.queries() | {f.__name__: f for f in found}
 
 
@@ -102,6 +110,8 @@ def oracle_sql() -> dict[str, str]:
             small AS (SELECT short AS name, regexp_replace(short, '/[^/]*$', '') AS folder FROM latest
                 WHERE size BETWEEN 1 AND 1048575 AND NOT regexp_matches(short, '/[._][^/]*$'))
             SELECT name FROM small QUALIFY count(*) OVER (PARTITION BY folder) > 1""",
+        "p1_method": "SELECT file_name AS name, CAST(count(DISTINCT line_no) AS BIGINT) AS rows FROM raw_lines WHERE file_name IS NOT NULL AND line_no IS NOT NULL GROUP BY file_name",
+        "p1_lines": "SELECT file_name, line_no, recordtype, key, value FROM raw_lines WHERE file_name IS NOT NULL AND line_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_name, line_no ORDER BY loaded_at DESC NULLS LAST, line_id DESC) = 1",
         "p2_found": _PARSED + "SELECT line_id, reason FROM reasons WHERE reason IS NOT NULL",
         "p2_rankings": _PARSED + "SELECT line_id, f[1] AS pageurl, CAST(f[2] AS BIGINT) AS pagerank, CAST(f[3] AS BIGINT) AS avgduration FROM reasons WHERE reason IS NULL AND recordtype = '0'",
         "p2_visits": _PARSED

@@ -154,16 +154,43 @@ def moved_column(chunk: Fields, shift: int) -> Fields:
     return {2: (I64, 0), 3: (STRUCT, meta)}
 
 
+# encodings whose pages need the dictionary page of their chunk. Fixed values.
+DICTIONARY = {2, 8}
+
+
+def is_plain(group: Fields) -> bool:
+    """Every page of the row group can be read without a dictionary page, so its chunks can go on in
+    one chunk with those of another file."""
+    metas = [chunk[3][1] for chunk in group[1][1][1]]
+    return all(not (11 in m and m[11][1] > 0) and not DICTIONARY & set(m[2][1][1]) for m in metas)
+
+
+def row_groups(footer: Fields) -> list[Fields]:
+    """Those that hold rows; others have no pages to copy."""
+    return [g for g in footer[4][1][1] if g[3][1] > 0]
+
+
 class Joined:
-    """A file under way that takes row groups of others as they are encoded."""
+    """A file under way that takes row groups of others as they are encoded.
 
-    def __init__(self, sink: Any):
-        self.sink, self.at = sink, len(MAGIC)
+    Chunks without dictionary pages of successive files are laid one behind the other into
+    one chunk, until a row group holds ``group_bytes``; others stay row groups of their
+    own. Pages are copied byte for byte either way. One such row group is in memory."""
+
+    def __init__(self, sink: Any, group_bytes: int = 16 << 20):
+        self.sink, self.at, self.group_bytes = sink, len(MAGIC), group_bytes
         self.schema = self.base = None
         self.groups: list[bytes] = []
-        self.rows = 0
+        self.rows = self.blocks = 0
+        self._clear()
         sink.write(MAGIC)
 
+    def _clear(self) -> None:
+        self.kind: tuple = ()
+        self.pages: list[list[bytes]] = []
+        self.metas: list[Fields] = []
+        self.open_rows = self.open_bytes = self.open_size = 0
+
     def add(self, data: bytes) -> tuple[int, int]:
         """Append a file's row groups; its rows and row groups. Raises if its schema differs."""
         footer = read_footer(data)
@@ -172,30 +199,64 @@ class Joined:
             self.schema, self.base = schema, footer
         elif schema != self.schema:
             raise ValueError("the schemas differ")
-        # a row group without rows has no pages to copy
-        groups, rows = [g for g in footer[4][1][1] if g[3][1] > 0], 0
+        groups, rows = row_groups(footer), 0
         for group in groups:
-            columns, first = [], self.at
-            for chunk in group[1][1][1]:
-                start, length = column_range(chunk)
-                if start < len(MAGIC) or start + length > len(data):
-                    raise ValueError("column pages outside the file")
-                self.sink.write(data[start : start + length])
-                columns.append(moved_column(chunk, self.at - start))
-                self.at += length
-            new = group | {1: (LIST, (STRUCT, columns)), 5: (I64, first)}
-            new.pop(7, None)  # the ordinal is 16 bits wide; optional
-            self.groups.append(packed_fields(new))
+            chunks = group[1][1][1]
+            places = [column_range(c) for c in chunks]
+            if any(start < len(MAGIC) or start + length > len(data) for start, length in places):
+                raise ValueError("column pages outside the file")
+            pages = [data[start : start + length] for start, length in places]
+            if is_plain(group):
+                self._merge(group, [c[3][1] for c in chunks], pages)
+            else:
+                self._close_group()
+                columns, first = [], self.at
+                for chunk, (start, length), page in zip(chunks, places, pages):
+                    self.sink.write(page)
+                    columns.append(moved_column(chunk, self.at - start))
+                    self.at += length
+                new = group | {1: (LIST, (STRUCT, columns)), 5: (I64, first)}
+                new.pop(7, None)  # the ordinal is 16 bits wide; optional
+                self.groups.append(packed_fields(new))
             rows += group[3][1]
         if rows != footer[3][1]:
             raise ValueError(f"row groups hold {rows} rows, the footer says {footer[3][1]}")
         self.rows += rows
+        self.blocks += len(groups)
         return rows, len(groups)
 
+    def _merge(self, group: Fields, metas: list[Fields], pages: list[bytes]) -> None:
+        kind = tuple((packed(*m[3]), m[1][1], m[4][1]) for m in metas)  # path, type, codec
+        if kind != self.kind or self.open_bytes >= self.group_bytes:
+            self._close_group()
+            # sizes, counts and encodings add up; statistics and indexes of single files go
+            self.kind, self.pages = kind, [[] for _ in metas]
+            self.metas = [{i: m[i] for i in (1, 3, 4)} | {2: (LIST, (I32, [])), 5: (I64, 0), 6: (I64, 0), 7: (I64, 0)} for m in metas]
+        for held, own, page, kept in zip(self.metas, metas, pages, self.pages):
+            kept.append(page)
+            held[2] = (LIST, (I32, sorted({*held[2][1][1], *own[2][1][1]})))
+            for i in (5, 6, 7):
+                held[i] = (I64, held[i][1] + own[i][1])
+            self.open_bytes += len(page)
+        self.open_rows += group[3][1]
+        self.open_size += group[2][1]
+
+    def _close_group(self) -> None:
+        if self.kind:
+            columns, first = [], self.at
+            for meta, kept in zip(self.metas, self.pages):
+                columns.append({2: (I64, 0), 3: (STRUCT, meta | {9: (I64, self.at)})})
+                for page in kept:
+                    self.sink.write(page)
+                    self.at += len(page)
+            self.groups.append(packed_fields({1: (LIST, (STRUCT, columns)), 2: (I64, self.open_size), 3: (I64, self.open_rows), 5: (I64, first), 6: (I64, self.at - first)}))
+        self._clear()
+
     def close(self) -> int:
         """Write the footer; the size of the file."""
         if self.base is None:
             raise ValueError("no file was added")
+        self._close_group()
         fields = self.base | {3: (I64, self.rows), 4: (LIST, None)}
         footer = packed_fields(fields, {4: list_head(STRUCT, len(self.groups)) + b"".join(self.groups)})
         self.sink.write(footer + struct.pack("<I", len(footer)) + MAGIC)

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import fields
 from millrace.operators.malformed import chomp
+from millrace.sources.places import for_spark
 
 
 def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """The paths and globs that match something, on whatever file system they lie."""
+    """The paths and globs that match something, on whatever file system they lie, as Spark reads them."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     found = []
-    for p in paths:
+    for p in (for_spark(spark, p) for p in paths):
         path = jvm.org.apache.hadoop.fs.Path(p)
         match = path.getFileSystem(conf).globStatus(path)
         if match is not None and len(match):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import compaction as c
+from millrace.sources import places
 from millrace.sources.footer import Joined, packed_fields, read_footer
 
 LISTING = "listing_id BIGINT, name STRING, size BIGINT, listed_at TIMESTAMP_NTZ, folder STRING, listing STRING"
@@ -82,7 +83,7 @@ def test_lines_once_each(spark):
     rows = [(i, f"s3://b/land/{'xy'[i % 2]}/p{i % 5}", i // 5, "0", None if i % 7 == 0 else f"k{i}", "v" * (i % 9) if i % 11 else None, t(1)) for i in range(120)]
     rows += [(1000 + i, *r[1:5], "late", t(2)) for i, r in enumerate(rows[:30])] + [(2000, "s3://b/land/x/big", n, "1", "k", "日" * 50_000, None) for n in range(3)]
     rows += [(3000, None, 1, "0", "k", "v", t(1)), (3001, "s3://b/land/x/p1", None, "0", "k", "v", t(1))]
-    done = c.consolidate_lines(lines(spark, rows), target=200_000, most_blocks=6).collect()
+    done = c.consolidate_lines(lines(spark, rows), target=3_000).collect()
     out = sorted({r.out_file for r in done})
     want = {}
     for r in sorted(rows, key=lambda r: (r[6] or t(1), r[0])):
@@ -90,17 +91,17 @@ def test_lines_once_each(spark):
             want[r[1], r[2]] = r[3:6]
     got = [((r.file_name, r.line_no), (r.recordtype, r.key, r.value)) for r in spark.read.parquet(*out).collect()]
     assert len(got) == len(want) and dict(got) == want
-    assert len(out) < len(done) and sum(r.rows for r in done) == len(want)
+    assert 2 < len(out) < len(done) and sum(r.rows for r in done) == len(want)
     for r in done:
-        assert r.out_rows == sum(x.rows for x in done if x.out_file == r.out_file) and r.out_blocks <= 12
+        assert r.out_rows == sum(x.rows for x in done if x.out_file == r.out_file) and r.out_blocks == 1
 
 
 def test_long_files_land_in_pieces(spark):
     from millrace.session import scratch
 
     rows = lines(spark, [(i, "s3://b/l/f", i, "0", "k", str(i), None) for i in range(250)]).select("file_name", "line_no", "value")
-    landed = c.land(rows, scratch(spark, "pieces"), piece_rows=100).collect()
-    assert sorted(r.rows for r in landed) == [50, 100, 100]
+    landed = c.with_footers(c.land(rows, scratch(spark, "pieces"), piece_rows=100).withColumn("area", F.lit("a"))).collect()
+    assert sorted((r.rows, r.blocks, r.plain) for r in landed) == [(50, 1, True), (100, 1, True), (100, 1, True)] and len({r.schema for r in landed}) == 1
 
 
 def test_nothing_to_do(spark):
@@ -112,6 +113,69 @@ def test_wrong_totals_raise(spark):
 
     base = scratch(spark, "wrong")
     landed = c.land(lines(spark, [(1, "s3://b/l/f", 1, "0", "k", "v", None)]).select("file_name", "line_no", "value"), base)
-    spoiled = spark.createDataFrame(landed.collect(), landed.schema).withColumn("rows", F.col("rows") + 1).withColumn("area", F.lit("s"))
-    with pytest.raises(Exception, match="were to be copied"):
-        c.consolidate(c.plan_outputs(spoiled), base + "/large").collect()
+    read = c.with_footers(spark.createDataFrame(landed.collect(), landed.schema).withColumn("area", F.lit("s")))
+    read = spark.createDataFrame(read.collect(), read.schema)
+    for name, spoil, said in (("rows", F.col("rows") + 1, "were to be copied"), ("blocks", F.col("blocks") + 1, "were to be copied"), ("schema", F.lit("0" * 16), "planned")):
+        with pytest.raises(Exception, match=said):
+            c.consolidate(c.plan_outputs(read.withColumn(name, spoil)), base + "/large").collect()
+
+
+def test_plain_blocks_of_many_files_become_one_row_group():
+    tables = [pa.table({"a": pa.array([k, None, k + 1]), "s": [f"日{k}", "", None], "l": [[k], None, []]}, schema=pa.schema([("a", pa.int64()), ("s", pa.string()), ("l", pa.list_(pa.int64()))])) for k in range(200)]
+    sink = io.BytesIO()
+    joined = Joined(sink, group_bytes=10_000)
+    for k, t in enumerate(tables):
+        joined.add(as_file(t, use_dictionary=k == 100, compression="zstd", data_page_version="2.0" if k % 2 else "1.0"))
+    joined.close()
+    back = pq.ParquetFile(io.BytesIO(sink.getvalue()))
+    assert joined.blocks == 200 and 3 < back.metadata.num_row_groups < 10 and back.read().equals(pa.concat_tables(tables))
+    groups = [back.metadata.row_group(i) for i in range(back.metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 600 and 1 in [g.num_rows // 3 for g in groups]
+    assert all(g.column(0).total_compressed_size > 0 for g in groups)
+
+
+def test_a_users_files_are_compacted_where_asked(spark, tmp_path):
+    """Two folders, one with two schemas; the result and the list of files replaced stay."""
+    want = []
+    for n in range(12):
+        for area in "xy":
+            (tmp_path / "in" / area).mkdir(parents=True, exist_ok=True)
+            columns = {"a": [n, None], "s": [f"{area}{n}", "z"]} if area == "x" or n % 2 else {"a": [n, None], "s": [f"{area}{n}", "z"], "extra": [1.0, None]}
+            pq.write_table(pa.table(columns), tmp_path / "in" / area / f"p{n}.parquet")
+            want += [(r.get("a"), r.get("s"), r.get("extra")) for r in pa.table(columns).to_pylist()]
+    (tmp_path / "in" / "x" / "_SUCCESS").write_bytes(b"")
+    done = c.compact(c.listed(spark, f"{tmp_path}/in"), f"{tmp_path}/out")
+    assert done.count() == 24 and done.select("out_file").distinct().count() == 3
+    got = []
+    for r in done.select("out_file").distinct().collect():
+        got += [(x.get("a"), x.get("s"), x.get("extra")) for x in pq.read_table(r.out_file.removeprefix("file://").removeprefix("file:")).to_pylist()]
+    order = lambda rows: sorted(rows, key=str)
+    assert order(got) == order(want)
+    assert spark.read.parquet(f"{tmp_path}/out/_replaced").count() == 24
+    again = c.compact(c.listed(spark, f"{tmp_path}/in"), f"{tmp_path}/out")
+    assert again.count() == 24 and order(x.s for x in spark.read.option("mergeSchema", "true").parquet(f"{tmp_path}/out/[0-9a-f]*").collect()) == order(w[1] for w in want)
+
+
+def test_names_mean_the_same_to_spark_and_workers(spark, tmp_path):
+    assert places.for_spark(spark, "s3://b/k") == places.for_spark(spark, "s3n://b/k") == places.qualified(spark, "s3://b/k") == "s3a://b/k"
+    assert places.for_spark(spark, "/a") == "/a" and places.for_spark(spark, "hdfs://h/a") == "hdfs://h/a"
+    (tmp_path / "f").write_text("x")
+    for name in (f"{tmp_path}/f", f"file:{tmp_path}/f", f"file://{tmp_path}/f"):
+        full = places.qualified(spark, name)
+        system, path = places.opened(full)
+        assert full.startswith("file:/") and system.get_file_info(path).size == 1
+    system, path = places.opened("s3a://bucket/a/b?region=us-east-1")
+    assert system.type_name == "s3" and path == "bucket/a/b"
+    with pytest.raises(ValueError, match="full name"):
+        places.opened("/a/b")
+
+
+def test_duplicates_however_many(spark):
+    t = lambda d: datetime(2000, 1, d)
+    rows = [(i, "f", i % 3, "0", str(i), "v", None if i == 7 else t(1 + i % 5)) for i in range(60)] + [(99, "g", 0, "0", "only", "v", None)]
+    for most in (10, 0):
+        got = {(r.file_name, r.line_no): r.key for r in c.distinct_lines(lines(spark, rows), ["key"], most=most).collect()}
+        want = {}
+        for r in sorted(rows, key=lambda r: (r[6] or t(1).replace(year=1), r[0])):
+            want[r[1], r[2]] = r[4]
+        assert got == want
