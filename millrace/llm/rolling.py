@@ -7,7 +7,8 @@ windows mostly share one anchor, so a *run* is a maximal series of consecutive
 windows with the same anchor. A run depends only on the characters it spans:
 two texts sharing a stretch of at least ``span`` code points share a window,
 hence an anchor hash, and inside the stretch they share whole runs. No window
-is dropped; a run with n windows stands for n hashes.
+is dropped; a run with n windows stands for n hashes. Text with a short period
+repeats one run over and over; such runs in a row are one, with how many times.
 
 Hashes are polynomials modulo 2**64 with an odd base over mixed code points.
 Prefix sums give the hash of any stretch in O(1).
@@ -118,7 +119,9 @@ def _batches(texts: list[str], span: int):
 def window_runs(texts: list[str], span: int, gram: int) -> dict[str, np.ndarray]:
     """Runs of the texts: ``text`` (position in the list), ``anchor``, ``content``
     (64-bit hashes), ``start`` (code point of the first window), ``windows``
-    (how many) and ``again`` (the text has had this anchor before). Null texts and texts shorter than ``span`` have none."""
+    (how many), ``times`` (how often the run repeats, each time ``windows`` further on) and
+    ``again`` (the text has had this anchor before). Null texts and texts shorter than
+    ``span`` have none."""
     parts = []
     width = span - gram + 1
     mask = U((1 << POS_BITS) - 1)
@@ -141,11 +144,15 @@ def window_runs(texts: list[str], span: int, gram: int) -> dict[str, np.ndarray]
         anchor = where[starts]
         content = hasher.at(starts, after + span - 1)
         content = mix(content + (anchor - starts).astype(U) * U(BASE))
-        whose = owner[starts]
-        parts.append((number[whose], grams[anchor], content, starts - first[whose] + offset[whose], after - starts))
-    names = ("text", "anchor", "content", "start", "windows")
+        whose, windows = owner[starts], after - starts
+        fresh = np.ones(len(starts), bool)
+        fresh[1:] = (content[1:] != content[:-1]) | (windows[1:] != windows[:-1]) | (whose[1:] != whose[:-1]) | (starts[1:] != after[:-1]) | (grams[anchor[1:]] != grams[anchor[:-1]])
+        at = np.flatnonzero(fresh)
+        whose = whose[at]
+        parts.append((number[whose], grams[anchor[at]], content[at], starts[at] - first[whose] + offset[whose], windows[at], np.diff(at, append=len(starts))))
+    names = ("text", "anchor", "content", "start", "windows", "times")
     if not parts:
-        return dict(zip((*names, "again"), (np.zeros(0, t) for t in (np.int64, U, U, np.int64, np.int64, bool))))
+        return dict(zip((*names, "again"), (np.zeros(0, t) for t in (np.int64, U, U, np.int64, np.int64, np.int64, bool))))
     out = {n: np.concatenate(x) for n, x in zip(names, zip(*parts))}
     order = np.lexsort((out["anchor"], out["text"]))
     same = (out["anchor"][order][1:] == out["anchor"][order][:-1]) & (out["text"][order][1:] == out["text"][order][:-1])

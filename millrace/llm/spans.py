@@ -7,8 +7,8 @@ equal runs. Counting goes in two steps. Runs that recur whole in another record
 prove all their windows shared. Where one anchor has runs of differing content
 (the edges of a copied stretch, or a shared passage shorter than a window), the
 single windows of one record per distinct run are hashed and counted. Repeated
-windows then merge into maximal intervals per record, and groups of records
-holding the same windows give the pairs.
+windows then merge into maximal intervals per record, and the distinct sets of
+records that hold a common window give the groups and the pairs.
 
 Defined results: null texts and texts shorter than ``span`` share nothing;
 repeats inside one record don't count; copies of a whole text are shared in
@@ -29,11 +29,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace.llm.rolling import Hasher, code_points, window_runs
-from millrace.session import spread, written
+from millrace.session import release, spread, written
 
 SPAN = 300
-_RUN = "doc BIGINT, anchor BIGINT, content BIGINT, start BIGINT, windows BIGINT, again BOOLEAN"
-_ONE = "anchor BIGINT, content BIGINT, least BIGINT, most BIGINT, window BIGINT, at BIGINT"
+_RUN = "doc BIGINT, anchor BIGINT, content BIGINT, start BIGINT, windows BIGINT, times BIGINT, again BOOLEAN"
+_ONE = "anchor BIGINT, content BIGINT, least BIGINT, most BIGINT, window BIGINT, at BIGINT, fresh BOOLEAN"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -47,7 +47,7 @@ def runs(docs: DataFrame, span: int = SPAN, gram: int | None = None) -> DataFram
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             r = window_runs(b["text"].tolist(), span, gram)
-            yield pd.DataFrame({"doc": b["doc"].to_numpy()[r["text"]], "anchor": _signed(r["anchor"]), "content": _signed(r["content"]), "start": r["start"], "windows": r["windows"], "again": r["again"]})
+            yield pd.DataFrame({"doc": b["doc"].to_numpy()[r["text"]], "anchor": _signed(r["anchor"]), "content": _signed(r["content"]), "start": r["start"], "windows": r["windows"], "times": r["times"], "again": r["again"]})
 
     long_enough = docs.where(F.length("text") >= span)
     return spread(long_enough).mapInPandas(work, _RUN)
@@ -60,8 +60,13 @@ def keep_listed(df: DataFrame, keys: DataFrame, key: str, most: int = 4_000_000)
     return df.join(F.broadcast(keys) if keys.count() <= most else keys, key, "left_semi")
 
 
-def _single_windows(docs: DataFrame, classes: DataFrame, span: int) -> DataFrame:
-    """The windows of one representative run per class, one row each."""
+def _picks(classes: DataFrame) -> DataFrame:
+    """One row per document; a document has at most as many runs as code points."""
+    return written(classes.groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "least", "most", "start", "windows")).alias("picks")), "picks")
+
+
+def _single_windows(docs: DataFrame, picks: DataFrame, span: int) -> DataFrame:
+    """The windows of one representative run per class, one row each; ``fresh`` if the run hasn't had it before."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -69,7 +74,9 @@ def _single_windows(docs: DataFrame, classes: DataFrame, span: int) -> DataFrame
                 for p in picks:
                     n, at = p["windows"], p["start"]
                     every = Hasher(code_points(text[at : at + n + span - 1])).every(span)
-                    yield pd.DataFrame({"anchor": np.full(n, p["anchor"]), "content": np.full(n, p["content"]), "least": np.full(n, p["least"]), "most": np.full(n, p["most"]), "window": _signed(every), "at": np.arange(n)})
+                    fresh = np.zeros(n, bool)
+                    fresh[np.unique(every, return_index=True)[1]] = True
+                    yield pd.DataFrame({"anchor": np.full(n, p["anchor"]), "content": np.full(n, p["content"]), "least": np.full(n, p["least"]), "most": np.full(n, p["most"]), "window": _signed(every), "at": np.arange(n), "fresh": fresh})
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows = [], 0
@@ -82,8 +89,6 @@ def _single_windows(docs: DataFrame, classes: DataFrame, span: int) -> DataFrame
         if held:
             yield pd.concat(held, ignore_index=True)
 
-    # one row per document; a document has at most as many runs as code points
-    picks = written(classes.groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "least", "most", "start", "windows")).alias("picks")), "picks")
     return keep_listed(docs, picks.select("doc"), "doc").join(picks, "doc").select("text", "picks").mapInPandas(gathered, _ONE)
 
 
@@ -105,12 +110,16 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # an anchor counts once a record, so two say that two records have it (or one id twice)
     anchors = written(every.where("NOT again").groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     hot = written(keep_listed(every.drop("again"), anchors, "anchor"), "repeated")
+    release(every, anchors)
     classes = written(
         hot.groupBy("anchor", "content").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(F.struct("doc", "start", "windows")).alias("one")), "classes"
     )
     mixed = classes.groupBy("anchor").agg(F.min("content").alias("c0"), F.max("content").alias("c1")).where("c0 < c1").select("anchor")
     picked = classes.join(mixed, "anchor", "left_semi").select("anchor", "content", "least", "most", "one.doc", "one.start", "one.windows")
-    return Repeats(span, hot, classes, written(_single_windows(docs, picked, span), "windows"))
+    picks = _picks(picked)
+    windows = written(_single_windows(docs, picks, span), "windows")
+    release(picks)
+    return Repeats(span, hot, classes, windows)
 
 
 def _shared_windows(found: Repeats) -> DataFrame:
@@ -124,30 +133,53 @@ def _shared_windows(found: Repeats) -> DataFrame:
     return found.windows.join(keys, ["anchor", "window"], "left_semi")
 
 
-def _sets_once(members: DataFrame, key: list[str], item: str) -> DataFrame:
-    """Of groups with the same items keep one: neighbouring windows mostly have the
-    same holders. Order-free sums tell sets apart without collecting any."""
-    sums = members.groupBy(*key).agg(
+def _set_sums(item: str) -> list:
+    """Order-free sums that tell sets apart without collecting any."""
+    return [
         F.count("*").alias("n"),
         F.sum(F.xxhash64(item).bitwiseAND(F.lit((1 << 40) - 1))).alias("s0"),
         F.bit_xor(F.xxhash64(item, F.lit(1))).alias("s1"),
         F.bit_xor(F.xxhash64(item, F.lit(2))).alias("s2"),
-    )
-    once = sums.where("n > 1").groupBy("n", "s0", "s1", "s2").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
-    return members.join(once, key, "left_semi")
+    ]
+
+
+def _holders(found: Repeats) -> DataFrame:
+    """(anchor, part, kind, doc), written: the distinct sets of two or more records that hold a common
+    window, each once. Neighbouring windows mostly have the same holders."""
+    # windows of mixed anchors by the set of classes that have them, one window for each set
+    by_set = found.windows.where("fresh").groupBy("anchor", "window").agg(*_set_sums("content"), F.min("least").alias("d0"), F.max("most").alias("d1"), F.min("content").alias("content"))
+    sets = by_set.where("d0 < d1").groupBy("n", "s0", "s1", "s2").agg(F.min(F.struct("anchor", "window", "content")).alias("k"))
+    sets = written(sets.select("n", "k.*"), "sets")
+    # a class holds its windows alone if no other has its anchor, or if it has a window of its own
+    mixed = found.windows.select("anchor").distinct()
+    alone = found.classes.where("least < most").select("anchor", "content").join(mixed, "anchor", "left_anti")
+    alone = alone.unionByName(sets.where("n = 1").select("anchor", "content"))
+    holds = found.runs.select("anchor", "content", "doc")
+    whole = holds.join(alone, ["anchor", "content"], "left_semi").select("anchor", F.col("content").alias("part"), F.lit(0).alias("kind"), "doc")
+    common = found.windows.where("fresh").join(sets.where("n > 1").select("anchor", "window"), ["anchor", "window"], "left_semi").select("anchor", "window", "content")
+    edges = common.join(holds, ["anchor", "content"]).select("anchor", F.col("window").alias("part"), F.lit(1).alias("kind"), "doc")
+    key = ["anchor", "part", "kind"]
+    members = written(whole.unionByName(edges).distinct(), "members")
+    once = members.groupBy(*key).agg(*_set_sums("doc")).groupBy("n", "s0", "s1", "s2").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    kept = written(members.join(once, key, "left_semi"), "holders")
+    release(sets, members)
+    return kept
+
+
+def shared_groups(found: Repeats) -> DataFrame:
+    """(class_id, doc_id): the distinct sets of two or more records that hold a common stretch of
+    ``span`` code points, a row a member. Two records share a stretch if and only if
+    they are in one class, so this says what ``shared_pairs`` says without expanding a passage
+    of many holders into all their pairs."""
+    return _holders(found).select(F.xxhash64("anchor", "part", "kind").alias("class_id"), F.col("doc").alias("doc_id"))
 
 
 def shared_pairs(found: Repeats, block: int = 1000) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: all pairs with a common stretch of ``span`` code
     points. Its size is the result's own; pairs come only from groups that hold a
     common window, each distinct group once."""
-    whole = found.runs.join(found.classes.where("least < most").select("anchor", "content"), ["anchor", "content"], "left_semi").select(
-        "anchor", F.col("content").alias("part"), F.lit(0).alias("kind"), "doc"
-    )
-    by_class = _sets_once(_shared_windows(found).select("anchor", "window", "content").distinct(), ["anchor", "window"], "content")
-    edges = by_class.join(found.runs.select("anchor", "content", "doc"), ["anchor", "content"]).select("anchor", F.col("window").alias("part"), F.lit(1).alias("kind"), "doc")
     key = ["anchor", "part", "kind"]
-    members = written(_sets_once(whole.unionByName(edges).distinct(), key, "doc"), "holders")
+    members = _holders(found)
     # large groups are cut into blocks and joined block by block, so no task makes more
     # than about block**2 pairs of one group; a group of one block isn't repeated
     blocks = members.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
@@ -161,7 +193,7 @@ def shared_intervals(found: Repeats) -> DataFrame:
     """(doc, start, end): maximal stretches of each record made of windows that some
     other record has; end is exclusive."""
     full = found.classes.where("least < most").select("anchor", "content")
-    a = found.runs.join(full, ["anchor", "content"], "left_semi").select("doc", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last"))
+    a = found.runs.join(full, ["anchor", "content"], "left_semi").select("doc", F.col("start").alias("first"), (F.col("start") + F.col("windows") * F.col("times") - 1).alias("last"))
     w = Window.partitionBy("anchor", "content").orderBy("at")
     ranges = (
         _shared_windows(found)
@@ -171,7 +203,9 @@ def shared_intervals(found: Repeats) -> DataFrame:
         .groupBy("anchor", "content", "island")
         .agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     )
-    b = found.runs.join(ranges, ["anchor", "content"]).select("doc", (F.col("start") + F.col("lo")).alias("first"), (F.col("start") + F.col("hi")).alias("last"))
+    # a run's repeats lie closer together than a window is long, so their stretches overlap
+    last = F.col("start") + (F.col("times") - 1) * F.col("windows") + F.col("hi")
+    b = found.runs.join(ranges, ["anchor", "content"]).select("doc", (F.col("start") + F.col("lo")).alias("first"), last.alias("last"))
     spans = a.unionByName(b).select("doc", F.col("first").alias("start"), (F.col("last") + found.span).alias("end"))
     return merged(spans)
 

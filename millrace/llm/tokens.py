@@ -296,7 +296,8 @@ class Vocabulary:
         edges = np.searchsorted(starts, ends - 1)  # slice number of each separator
         bounds = octet[starts]
         numbers = self._numbers(joined.encode("utf-8"), bounds[:-1], bounds[1:])
-        first, flat = np.array(self.first, np.int64), np.array(self.flat, np.int32)
+        # views, gone before the cache grows again
+        first, flat = np.frombuffer(self.first, np.int64), np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
         count = first[numbers + 1] - first[numbers]
         count[edges] = 0
         total = np.concatenate([[0], np.cumsum(count)])

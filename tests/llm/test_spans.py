@@ -13,17 +13,22 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA)
 
 
-def brute(rows, span):
-    holders = defaultdict(set)
+def holders(rows, span):
+    out = defaultdict(set)
     for d, t in rows:
         for i in range(len(t or "") - span + 1):
-            holders[t[i : i + span]].add(d)
-    pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
+            out[t[i : i + span]].add(d)
+    return out
+
+
+def brute(rows, span):
+    held = holders(rows, span)
+    pairs = {(a, b) for h in held.values() for a in h for b in h if a < b}
     report = {}
     for d, t in rows:
         inside = np.zeros(len(t or ""), bool)
         for i in range(len(t or "") - span + 1):
-            if len(holders[t[i : i + span]]) > 1:
+            if len(held[t[i : i + span]]) > 1:
                 inside[i : i + span] = True
         edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
         runs = (edges[1::2] - edges[::2]).tolist()
@@ -46,6 +51,10 @@ def test_against_brute_force(spark, seed, gram):
     found = spans.find_repeats(frame(spark, rows), span=20, gram=gram)
     got = [tuple(r) for r in spans.shared_pairs(found).collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
+    groups = {}
+    for r in spans.shared_groups(found).collect():
+        groups.setdefault(r.class_id, []).append(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, {frozenset(h) for h in holders(rows, 20).values() if len(h) > 1}))
     if gram == 10:
         got = {r.doc_id: (r.n_chars, r.shared_chars, r.spans, r.longest) for r in spans.shared_report(frame(spark, rows), span=20).collect()}
         want = {d: (n, s, *rest) for d, (n, s, *rest) in report.items()}
@@ -69,7 +78,7 @@ def test_runs_cover_every_window():
     rng = random.Random(1)
     docs = ["".join(rng.choice("abc") for _ in range(n)) for n in (0, 29, 30, 31, 500)] + [None, "a" * 100]
     r = rolling.window_runs(docs, 30, 12)
-    seen = sorted((t, s + k) for t, s, n in zip(r["text"].tolist(), r["start"].tolist(), r["windows"].tolist()) for k in range(n))
+    seen = sorted((t, s + k) for t, s, n in zip(r["text"].tolist(), r["start"].tolist(), (r["windows"] * r["times"]).tolist()) for k in range(n))
     assert seen == [(t, i) for t, d in enumerate(docs) for i in range(len(d or "") - 29)]
 
 
@@ -78,10 +87,22 @@ def test_long_texts_are_cut_without_loss(monkeypatch):
     text = "".join(rng.choice("abcd") for _ in range(1000))
     monkeypatch.setattr(rolling, "_LIMIT", 64)
     r = rolling.window_runs([text, text[100:300]], 30, 12)
-    seen = sorted((t, s + k) for t, s, n in zip(r["text"].tolist(), r["start"].tolist(), r["windows"].tolist()) for k in range(n))
+    seen = sorted((t, s + k) for t, s, n in zip(r["text"].tolist(), r["start"].tolist(), (r["windows"] * r["times"]).tolist()) for k in range(n))
     assert seen == [(0, i) for i in range(971)] + [(1, i) for i in range(171)]
 
 
+@pytest.mark.parametrize("unit", ["=", "ab", "-=-|", "x" * 40 + "y"])
+def test_text_with_a_short_period_is_few_runs(spark, unit):
+    text = (unit * 1_000_000)[:1_000_000]
+    r = rolling.window_runs([text, "head " + text[:5000] + " tail"], 300, 150)
+    assert len(r["start"]) < 200 and (r["windows"] * r["times"])[r["text"] == 0].sum() == 1_000_000 - 299
+    rows = [(1, "a" + (unit * 100)[:100]), (2, (unit * 90)[:90] + "b"), (3, "c" + (unit * 60)[:60] + "d"), (4, (unit * 100)[:25])]
+    pairs, report = brute(rows, 20)
+    found = spans.find_repeats(frame(spark, rows), span=20)
+    assert {tuple(x) for x in spans.shared_pairs(found).collect()} == pairs
+    assert {r.doc_id: (r.n_chars, r.shared_chars, r.spans, r.longest) for r in spans.shared_report(frame(spark, rows), span=20).collect()} == report
+
+
 def test_hashes_slide():
     points = rolling.code_points("abcabcabd")
     h = rolling.Hasher(points).every(3)
