@@ -16,12 +16,16 @@ ENV_PREFIX = "MILLRACE_"
 
 @dataclasses.dataclass(frozen=True)
 class EngineConf:
-    """Sizes are bytes. Later sources win: defaults, file, environment, flags, code."""
+    """Sizes are bytes. Later sources win: defaults, file, environment, flags, code.
 
+    ``max_concurrency``, where set, bounds how many tasks a shuffle feeds; ``cleanup`` drops a
+    run's intermediates at its end; ``verbose`` prints the plan and the counters."""
+
+    # default sizes that results of plans are compared by. Fixed values.
     split_size: int = 100 * MB
     map_bin_size: int = 512 * MB
     reduce_bin_size: int = 512 * MB
-    max_concurrency: int = 500
+    max_concurrency: int | None = None
     working_location: str = "."
     cleanup: bool = True
     verbose: bool = False
@@ -29,7 +33,7 @@ class EngineConf:
 
     def __post_init__(self) -> None:
         for name in ("split_size", "map_bin_size", "reduce_bin_size", "max_concurrency"):
-            if getattr(self, name) <= 0:
+            if getattr(self, name) is not None and getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
         # a split is never larger than the map input it goes into
         if self.split_size > self.map_bin_size:
@@ -53,7 +57,7 @@ class EngineConf:
                 if isinstance(default, bool):
                     values[name] = text.strip().lower() in ("1", "true", "yes")
                 else:
-                    values[name] = int(text) if isinstance(default, int) else tuple(text.split(",")) if isinstance(default, tuple) else text
+                    values[name] = int(text) if isinstance(default, int) or default is None else tuple(text.split(",")) if isinstance(default, tuple) else text
         if unknown := set(values) - set(kinds):
             raise ValueError(f"unknown settings: {sorted(unknown)}")
         if "inputs" in values:
@@ -66,16 +70,20 @@ class EngineConf:
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(self.reduce_bin_size),
         }
 
-    def apply(self, spark: SparkSession) -> None:
+    def session(self, spark: SparkSession) -> SparkSession:
+        """A session of its own with these settings and the given one's others; the given one
+        is left as it is."""
+        own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
         for key, value in self.spark_settings().items():
-            spark.conf.set(key, value)
-        if self.verbose:
-            spark.sparkContext.setLogLevel("INFO")
+            own.conf.set(key, value)
+        if self.max_concurrency is not None:
+            own.conf.set("spark.sql.shuffle.partitions", str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), self.max_concurrency)))
+        return own
 
 
 def reducer_count(total_bytes: int, reduce_bin_size: int) -> int:
     """How many reducers whole bins of input ask for, with a quarter more; at least one.
-    Adaptive execution chooses by itself; this is for fixed placements."""
+    Adaptive execution chooses by itself; this is for fixed placements and reports."""
     return max(1, int(total_bytes // max(1, reduce_bin_size) * 1.25))
 
 

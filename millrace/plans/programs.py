@@ -49,7 +49,7 @@ def _join(lines: DataFrame) -> DataFrame:
 
 PROGRAMS = {
     "wordcount": Pipeline([Job(_count_words)]),
-    "scan": Pipeline([Job(_ranks)]),
-    "aggregate": Pipeline([Job(_revenue)]),
-    "join": Pipeline([Job(_join)], EngineConf(map_bin_size=250 * MB)),
+    "scan": Pipeline([Job(_ranks)], arity=(3,)),
+    "aggregate": Pipeline([Job(_revenue)], arity=(9,)),
+    "join": Pipeline([Job(_join)], EngineConf(map_bin_size=250 * MB), arity=(3, 9)),
 }

@@ -11,9 +11,10 @@ from millrace.functions.hashing import fnv1_bin
 from millrace.functions.text import fixed6, prefix, strict_date, strict_float, strict_int, tokens, words
 from millrace.operators import aggregates, filters, joins, shuffle
 from millrace.plans.job import Job, Pipeline, map_pairs, reduce_pairs
+from millrace.plans.programs import PROGRAMS, RANKING, VISIT
 from millrace.session import scratch, spread
 from millrace.sources.sinks import write_key_value
-from millrace.sources.text import delimited, key_value, union_inputs
+from millrace.sources.text import delimited, key_value, text_lines, union_inputs
 from millrace.streaming.counts import windowed_counts
 from millrace.tables import load
 
@@ -30,18 +31,56 @@ def tokenize_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.count_by(found, "token")
 
 
+def _as_text(df: DataFrame, label: str) -> str:
+    """A frame of one text column as text files; where."""
+    place = scratch(df.sparkSession, label)
+    df.write.option("lineSep", "\n").text(place)
+    return place
+
+
 def scan_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.split(F.col("text"), "\n", -1)
-    return load(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.size(lines).cast("bigint").alias("n_lines"))
+    """All texts as text files, read line by line; how often each line occurs."""
+    place = _as_text(load(spark, sf_dir, "documents").where("text IS NOT NULL").select("text"), "lines")
+    return aggregates.count_by(text_lines(spark, place), "value")
 
 
 def kv_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of one, two and three tab-separated fields."""
     parts = [F.when(F.col("event_id") % 3 >= i, c) for i, c in enumerate((F.col("event_type"), F.col("user_id").cast("string"), F.col("props")))]
-    lines = load(spark, sf_dir, "events").select("event_id", F.concat_ws("\t", *parts).alias("value"))
-    return lines.select("event_id", *[c for c in (F.split("value", "\t", -1).alias("__p"), "value")]).select(
-        "event_id", F.when(F.size("__p") == 2, F.col("__p")[0]).otherwise("").alias("key"), F.when(F.size("__p") == 2, F.col("__p")[1]).otherwise(F.col("value")).alias("value")
-    )
+    return key_value(load(spark, sf_dir, "events").select(F.concat_ws("\t", *parts).alias("value")))
+
+
+def _text_tables(spark: SparkSession, sf_dir: str, *tables: str) -> list[str]:
+    """The benchmark's tables as comma-separated text files, nulls as empty fields."""
+    names = {"rankings": RANKING, "visits": VISIT}
+    out = []
+    for t in tables:
+        cells = [F.coalesce(F.col(c).cast("decimal(38,10)" if c == "adrevenue" else "string").cast("string"), F.lit("")) for c in names[t]]
+        out.append(_as_text(load(spark, sf_dir, t).select(F.concat_ws(",", *cells).alias("value")), t))
+    return out
+
+
+def program_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's scan over text files."""
+    return PROGRAMS["scan"].plan(spark, *_text_tables(spark, sf_dir, "rankings"))
+
+
+def program_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's aggregation over text files; sums to three decimals."""
+    out = PROGRAMS["aggregate"].plan(spark, *_text_tables(spark, sf_dir, "visits"))
+    return out.select("key", F.round(F.col("value").cast("double"), 3).alias("total"))
+
+
+def program_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's join over two text inputs; averages to three decimals."""
+    out = PROGRAMS["join"].plan(spark, *_text_tables(spark, sf_dir, "rankings", "visits"))
+    pair = F.split("value", "\t")
+    return out.select("key", F.round(pair[0].cast("double"), 3).alias("avg_rank"), F.round(pair[1].cast("double"), 3).alias("avg_revenue"))
+
+
+def min_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smaller of two numbers of each row."""
+    return load(spark, sf_dir, "part").select("p_partkey", F.least("p_size", F.lit(25)).alias("smaller"))
 
 
 def kv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +249,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         word_count, tokenize_raw, scan_text_lines, kv_decode, kv_lines, parse_delimited, scan_filter, filter_date_before, filter_prefix, filter_in_list, agg_count, agg_sum_by_prefix,
         visits_revenue, agg_multi, group_collect, join_inner, join_agg, visits_join, multi_stage, multi_source_union, identity, json_roundtrip, json_field, repartition_hash,
-        repartition_custom, fnv_bins, udtf_map, udaf_reduce, sink_text_kv, events_per_hour,
+        repartition_custom, fnv_bins, udtf_map, udaf_reduce, sink_text_kv, events_per_hour, program_scan, program_aggregate, program_join, min_of_two,
     )
     return {f.__name__: f for f in own}
 
@@ -220,6 +259,10 @@ WITH orders_text AS (SELECT o_orderkey AS k, concat_ws(',', o_orderkey, o_custke
     CASE WHEN o_orderkey % 11 = 0 THEN '1995-13-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END, CASE WHEN o_orderkey % 13 = 0 THEN 'extra' END) AS value FROM orders),
 parts AS (SELECT string_split(value, ',') AS p FROM orders_text WHERE len(string_split(value, ',')) = 4)
 """
+_TEXT_VISITS = """
+WITH v AS (SELECT coalesce(sourceip, '') AS ip, coalesce(desturl, '') AS url, visitdate AS day, CAST(adrevenue AS DECIMAL(38, 10)) AS revenue FROM visits
+    WHERE NOT contains(concat(sourceip, desturl, useragent, countrycode, languagecode, searchword), ','))
+"""
 _COUNT_WORDS = "SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(regexp_replace(text, '[^a-zA-Z0-9\\s]+', ' ', 'g')), '\\s+')) AS word FROM documents) WHERE word <> ''"
 _AVG = "CAST(sum(CAST({0} AS DECIMAL(28, {1}))) AS DOUBLE) / nullif(count({0}), 0)"
 _SUM = "coalesce(CAST(sum(CAST({0} AS DECIMAL(28, {1}))) AS DOUBLE), 0)"
@@ -230,8 +273,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "word_count": _COUNT_WORDS + " GROUP BY word",
         "tokenize_raw": f"SELECT token, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '{white}')) AS token FROM documents) WHERE token <> '' GROUP BY token",
-        "scan_text_lines": "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents WHERE text IS NOT NULL",
-        "kv_decode": "WITH l AS (SELECT event_id, concat_ws(chr(9), event_type, CASE WHEN event_id % 3 >= 1 THEN user_id END, CASE WHEN event_id % 3 >= 2 THEN props END) AS v FROM events), p AS (SELECT *, string_split(v, chr(9)) AS f FROM l) SELECT event_id, CASE WHEN len(f) = 2 THEN f[1] ELSE '' END AS key, CASE WHEN len(f) = 2 THEN f[2] ELSE v END AS value FROM p",
+        "scan_text_lines": "SELECT CASE WHEN l LIKE '%' || chr(13) THEN substr(l, 1, length(l) - 1) ELSE l END AS value, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL) GROUP BY 1",
+        "kv_decode": "WITH l AS (SELECT concat_ws(chr(9), event_type, CASE WHEN event_id % 3 >= 1 THEN user_id END, CASE WHEN event_id % 3 >= 2 THEN props END) AS v FROM events), p AS (SELECT *, string_split(v, chr(9)) AS f FROM l) SELECT CASE WHEN len(f) = 2 THEN f[1] ELSE '' END AS key, CASE WHEN len(f) = 2 THEN f[2] ELSE v END AS value FROM p",
         "kv_lines": "WITH l AS (SELECT concat_ws(chr(9), key, value) AS v FROM kv_records), p AS (SELECT v, string_split(v, chr(9)) AS f FROM l) SELECT CASE WHEN len(f) = 2 THEN f[1] ELSE '' END AS key, CASE WHEN len(f) = 2 THEN f[2] ELSE v END AS value, count(*) AS n FROM p GROUP BY 1, 2",
         "parse_delimited": _ORDER_LINES + "SELECT CAST(p[1] AS BIGINT) AS o, CAST(p[2] AS BIGINT) AS c, try_cast(p[3] AS DOUBLE) AS price, try_cast(p[4] AS DATE) AS day FROM parts",
         "scan_filter": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45",
@@ -262,5 +305,10 @@ def oracle_sql() -> dict[str, str]:
         "udtf_map": _COUNT_WORDS + " GROUP BY word",
         "udaf_reduce": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
         "sink_text_kv": f"SELECT l_suppkey, {_SUM.format('l_extendedprice', 2)} AS total FROM lineitem GROUP BY l_suppkey",
+        "program_scan": "SELECT pageurl AS key, CAST(pagerank AS VARCHAR) AS value FROM rankings WHERE pagerank > 50 AND pageurl IS NOT NULL AND NOT contains(pageurl, ',')",
+        "program_aggregate": _TEXT_VISITS + "SELECT substr(ip, 1, 8) AS key, round(round(CAST(coalesce(sum(revenue), 0) AS DOUBLE), 6), 3) AS total FROM v GROUP BY 1",
+        "program_join": _TEXT_VISITS
+        + ", r AS (SELECT coalesce(pageurl, '') AS url, coalesce(pagerank, 0) AS rank FROM rankings WHERE NOT contains(coalesce(pageurl, ''), ',')) SELECT ip AS key, round(round(CAST(sum(rank) AS DOUBLE) / count(*), 6), 3) AS avg_rank, round(round(CAST(sum(coalesce(revenue, 0)) AS DOUBLE) / count(*), 6), 3) AS avg_revenue FROM v JOIN r ON v.url = r.url WHERE coalesce(day < DATE '2000-01-01', true) GROUP BY ip",
+        "min_of_two": "SELECT p_partkey, least(p_size, 25) AS smaller FROM part",
         "events_per_hour": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
     }

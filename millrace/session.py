@@ -72,6 +72,11 @@ def drop_folder(spark: SparkSession, place: str) -> None:
     system.delete(path, True)
 
 
+def folder_bytes(spark: SparkSession, place: str) -> int:
+    path, system = _path(spark, place)
+    return system.getContentSummary(path).getLength()
+
+
 def _delete_on_exit(spark: SparkSession, place: str) -> None:
     """The JVM's file system deletes the folder when the driver ends, also after the session was stopped."""
     path, system = _path(spark, place)

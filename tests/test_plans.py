@@ -1,4 +1,6 @@
+import dataclasses
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,10 +74,58 @@ def test_benchmark_programs(spark, tmp_path):
 
 def test_split_size_does_not_matter(spark, tmp_path):
     source = text(tmp_path, "\n".join(RANKS * 50 + VISITS * 50))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     results = {tuple(pairs(Pipeline(PROGRAMS["join"].jobs, EngineConf(split_size=n)).plan(spark, source))) for n in (64, 1024, 128 << 20)}
-    spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert len(results) == 1
+    # the caller's session keeps its settings; the plan's own has them
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    own = EngineConf(split_size=64, max_concurrency=3).session(spark)
+    assert own.conf.get("spark.sql.files.maxPartitionBytes") == "64" and own.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert EngineConf(max_concurrency=999).session(spark).conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+
+
+@pytest.mark.parametrize("program, dropped, rows", [("wordcount", 0, None), ("scan", len(VISITS) + 1, 3), ("aggregate", len(RANKS) + 1, 3), ("join", 2, 2)])
+def test_a_run_reports(spark, tmp_path, program, dropped, rows):
+    source = text(tmp_path, "\n".join(RANKS + VISITS) + "\n")
+    pipeline = dataclasses.replace(PROGRAMS[program], conf=EngineConf(working_location=f"file://{tmp_path}/o"))
+    report = pipeline.run(spark, source)
+    written = [x for p in (tmp_path / "o" / "output").glob("part-*") for x in p.read_text().splitlines()]
+    assert (report.lines_read, report.bytes_read, report.dropped) == (12, (tmp_path / "in.txt").stat().st_size, dropped)
+    assert report.rows_written == len(written) == (rows or len(written)) and report.place == f"file://{tmp_path}/o/output" and report.seconds > 0
+    assert report.bytes_written == sum(p.stat().st_size for p in (tmp_path / "o" / "output").iterdir() if p.name[0] not in "._")
+    empty = pipeline.run(spark, f"file://{tmp_path}/none")
+    assert (empty.lines_read, empty.bytes_read, empty.dropped, empty.rows_written) == (0, 0, 0, 0)
+
+
+def test_a_plan_is_described(spark, tmp_path):
+    for i, n in enumerate((3, 10, 5, 0)):
+        (tmp_path / f"{i}.txt").write_text("x" * n)
+    pipeline = Pipeline([], EngineConf(split_size=3, map_bin_size=6, reduce_bin_size=4))
+    assert pipeline.describe(spark, f"file://{tmp_path}") == {"files": 3, "bytes": 18, "splits": 7, "map_bins": 3, "reducers": 5}
+    assert pipeline.describe(spark, f"file://{tmp_path}/none")["files"] == 0
+
+
+def test_a_reducers_output_goes_on_in_batches(spark, monkeypatch):
+    """A reducer that yields as much as it gets holds neither."""
+    from millrace.plans import job
+
+    sizes = [len(f) for f in job._frames((str(i), i) for i in range(25_001))]
+    assert sizes == [10_000, 10_000, 5_001] and list(job._frames(iter(()))) == []
+    df = spark.range(25_000).select(F.lit("hot").alias("key"), F.col("id").cast("string").alias("value"))
+    assert reduce_pairs(df, lambda k, values: ((k, v) for v in values)).select("value").distinct().count() == 25_000
+
+
+@pytest.mark.skipif("MILLRACE_SAMPLES" not in os.environ, reason="set MILLRACE_SAMPLES to a folder with the benchmark's small rankings and visits")
+def test_goldens_of_the_published_sample(spark):
+    """Rows and sums that plain Python gives on the benchmark's small data set."""
+    place = "file://" + os.environ["MILLRACE_SAMPLES"]
+    rows = PROGRAMS["scan"].plan(spark, f"{place}/rankings").collect()
+    assert (len(rows), sum(int(r.value) for r in rows)) == (185, 17_415)
+    sums = {r.key: float(r.value) for r in PROGRAMS["aggregate"].plan(spark, f"{place}/visits").collect()}
+    assert len(sums) == 9651 and abs(sum(sums.values()) - 4975.255069) < 1e-2 and sums["245.113."] == 2.423780 and sums["103.254."] == 2.366413
+    both = {r.key: [float(x) for x in r.value.split("\t")] for r in PROGRAMS["join"].plan(spark, f"{place}/rankings", f"{place}/visits").collect()}
+    assert len(both) == 7141 and sum(r for r, _ in both.values()) == 280_396 and abs(sum(v for _, v in both.values()) - 3542.987495) < 1e-2
+    assert both["1.0.22.28"] == [25, 0.218458]
 
 
 def test_cli(spark, tmp_path):
@@ -84,6 +134,16 @@ def test_cli(spark, tmp_path):
     assert sorted(lines) == ["bar\t1", "baz\t1", "foo\t1", "input\t2", "test\t2", "the\t2"]
 
 
+def test_cli_compacts_and_explains(spark, tmp_path, capsys):
+    for i in range(5):
+        spark.range(i, i + 3).coalesce(1).write.parquet(f"file://{tmp_path}/in", mode="append")
+    assert cli.main(["compact", "--out", f"file://{tmp_path}/o", f"file://{tmp_path}/in"]) == 0
+    assert "5 files with 15 rows replaced by 1" in capsys.readouterr().err
+    assert sorted(r.id for r in spark.read.parquet(f"file://{tmp_path}/o/[0-9a-f]*").collect()) == sorted(k for i in range(5) for k in range(i, i + 3))
+    assert cli.main(["wordcount", "--explain", "--split-size", "10", text(tmp_path)]) == 0
+    assert json.loads(capsys.readouterr().out) == {"files": 1, "bytes": len(TEXT), "splits": 5, "map_bins": 1, "reducers": 1}
+
+
 def test_conf(tmp_path, monkeypatch):
     file = tmp_path / "c.json"
     file.write_text(json.dumps({"split_size": 5, "verbose": True, "working_location": "file"}))
