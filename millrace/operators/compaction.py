@@ -30,6 +30,7 @@ import xxhash
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.session import scratch, spread, written
 from millrace.sources import footer
@@ -133,6 +134,7 @@ def plan_outputs(files: DataFrame, target: int = 128 * MIB, most_blocks: int = 8
     file. The number of outputs follows the bytes and, for blocks that keep their dictionaries
     and so stay row groups of their own, the blocks (a footer names each); hashing spreads
     the files."""
+    files = files.withColumn("area", F.coalesce("area", F.lit("")))
     sums = files.groupBy("area", "schema").agg(F.sum("size").alias("bytes"), F.sum(F.when(F.col("plain"), 0).otherwise(F.col("blocks"))).alias("all_blocks"))
     n = F.greatest(F.ceil(F.col("bytes") / target), F.ceil(F.col("all_blocks") * 1.1 / most_blocks), F.lit(1))
     outputs = sums.select("area", "schema", n.cast("int").alias("n"))
@@ -160,9 +162,14 @@ def consolidate(planned: DataFrame, out_dir: str) -> DataFrame:
     replaced. A task holds one row group and a few small files at a time."""
     out_dir = qualified(planned.sparkSession, out_dir)
 
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            yield one(pd.concat(parts, ignore_index=True))
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         area, schema, output = pdf["area"].iloc[0], pdf["schema"].iloc[0], int(pdf["output"].iloc[0])
-        name = f"{out_dir}/{hash_text(area or ''):016x}-{schema}/part-{output:05d}.parquet"
+        name = f"{out_dir}/{hash_text(area):016x}-{schema}/part-{output:05d}.parquet"
         place, path = opened(name)
         place.create_dir(os.path.dirname(path), recursive=True)
         temporary = f"{os.path.dirname(path)}/_tmp-{os.urandom(8).hex()}"
@@ -183,11 +190,13 @@ def consolidate(planned: DataFrame, out_dir: str) -> DataFrame:
         _publish(place, temporary, path)
         return pd.DataFrame({"name": pdf["name"], "path": pdf["path"], "area": area, "out_file": name, "out_bytes": size, "out_blocks": meta.num_row_groups, "out_rows": meta.num_rows, "rows": rows})
 
-    # rows of the plan are few bytes and much work: partitions follow the number of outputs, not
-    # the size of the rows, and a fixed number isn't coalesced
-    outputs = planned.select("area", "schema", "output").distinct().count()
-    group = ["area", "schema", "output"]
-    return planned.repartition(max(1, 2 * outputs), *group).groupBy(*group).applyInPandas(one, "name STRING, path STRING, area STRING, out_file STRING, out_bytes BIGINT, out_blocks BIGINT, out_rows BIGINT, rows BIGINT")
+    # rows of the plan are few bytes and much work, so every output has a partition of its own; the
+    # list of outputs is short (one a target size)
+    key = ["area", "schema", "output"]
+    outputs = written(planned.select(*key).distinct().withColumn("number", F.row_number().over(Window.orderBy(*key)) - 1), "outputs")
+    n = max(1, outputs.count())
+    placed = planned.join(outputs, key).repartitionById(n, F.col("number"))
+    return placed.mapInPandas(work, "name STRING, path STRING, area STRING, out_file STRING, out_bytes BIGINT, out_blocks BIGINT, out_rows BIGINT, rows BIGINT")
 
 
 def listed(spark: SparkSession, *folders: str, pattern: str = "*.parquet") -> DataFrame:
