@@ -1,18 +1,20 @@
 """Most frequent items by three-phase threshold counting.
 
-1. Nodes (input partitions) count locally in bounded memory and send their leaders.
+1. Nodes (input partitions) count locally in bounded memory and name their leaders.
 2. The leaders' sums give a lower bound for the count of a reported item. Nodes send every
    item whose local count reaches the bound's share for their rows: an item with a global
    count of at least the bound reaches its share somewhere, so none is missed.
 3. The candidates are counted exactly with counts combined before the shuffle.
 
-Where the bound is a share of all rows it is known beforehand, and the first two phases
-are one pass. Local counting keeps at most ``most`` entries; when full it drops the rarest
-half and remembers the largest dropped count as the error, which is added to every local
-count, so it only ever sends too much. Candidates are at most nodes / share in number; up
-to ``broadcast_rows`` of them are broadcast, more are joined by shuffle. Only where the bound lies below that
-error (a top-k of a nearly flat column with more than ``most`` values on a node) are all
-items counted by shuffle.
+For a top-k the nodes' counts of the first phase are written, so the second reads them
+instead of the column, and so does the third where no node had to drop anything. Where the
+bound is a share of all rows it is known beforehand, and the first two phases are one pass
+that writes only what is sent. Local counting keeps at most ``most`` entries between merges;
+when full it keeps the ``most`` / 2 most frequent and remembers the largest dropped count as
+the error, which is added to every local count, so it only ever sends too much. Candidates are at most nodes / share
+in number; few are broadcast (``session.if_small``), more are joined by shuffle. Only where
+the bound lies below that error (a top-k of a nearly flat column with more than ``most``
+values on a node) are all items counted by shuffle.
 
 Defined results: null and empty values aren't items but count as rows; ties at the end of
 a top-k go to the smaller item; an empty table has no items.
@@ -23,86 +25,113 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import written
+from millrace.session import if_small, written
 
-_SENT = "item STRING, n BIGINT, upper BIGINT, node_rows BIGINT"
-_SENT_ARROW = pa.schema([("item", pa.string()), ("n", pa.int64()), ("upper", pa.int64()), ("node_rows", pa.int64())])
+#: A node's row without an item says how many rows it has; ``error`` is what its counts may lack.
+_SENT = "item STRING, n BIGINT, lead BOOLEAN, error BIGINT, node_rows BIGINT"
+_SENT_ARROW = pa.schema([("item", pa.string()), ("n", pa.int64()), ("lead", pa.bool_()), ("error", pa.int64()), ("node_rows", pa.int64())])
 
 
 class LocalCounts:
-    """Counts of one node with at most ``most`` entries at a time."""
+    """Counts of one node. Batches are merged when they add up to ``most`` entries."""
 
     def __init__(self, most: int):
-        self.most, self.counts, self.error, self.rows = most, {}, 0, 0
+        self.most, self.error, self.rows = most, 0, 0
+        self.parts: list[pa.Table] = []
+        self.pending = 0
 
     def add(self, values: pa.Array) -> None:
         self.rows += len(values)
-        for x in pc.value_counts(values).to_pylist():
-            if x["values"]:
-                self.counts[x["values"]] = self.counts.get(x["values"], 0) + x["counts"]
-        if len(self.counts) > self.most:
+        found = pc.value_counts(values.filter(pc.not_equal(values, "")))
+        self.parts.append(pa.table({"item": found.field("values"), "n": found.field("counts")}))
+        self.pending += len(found)
+        if self.pending >= self.most:
+            self._merge()
+
+    def _merge(self) -> None:
+        table = pa.concat_tables(self.parts).group_by("item").aggregate([("n", "sum")]).rename_columns(["item", "n"])
+        if table.num_rows > self.most:
             # an item dropped before may come back, so errors add up
-            edge = sorted(self.counts.values())[len(self.counts) // 2]
-            self.counts = {i: n for i, n in self.counts.items() if n > edge}
+            n, cut = table["n"].to_numpy(), table.num_rows - self.most // 2 - 1
+            edge = int(np.partition(n, cut)[cut])
+            table = table.filter(pc.greater(table["n"], edge))
             self.error += edge
+        self.parts, self.pending = [table], 0
 
+    def counts(self) -> pa.Table:
+        """(item, n), each item once."""
+        if self.parts:
+            self._merge()
+            return self.parts[0]
+        return pa.table({"item": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
 
-def _pass(items: DataFrame, choose: Callable[[LocalCounts], list[str] | None], most: int) -> DataFrame:
+
+def _leaders(table: pa.Table, k: int) -> np.ndarray:
+    lead = np.zeros(table.num_rows, bool)
+    lead[pc.select_k_unstable(table, k, [("n", "descending"), ("item", "ascending")]).to_numpy()] = True
+    return lead
+
+
+def _pass(items: DataFrame, most: int, chosen: Callable[[LocalCounts, pa.Table], pa.Table], k: int = 0) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = LocalCounts(most)
         for b in batches:
             local.add(b.column(0))
-        rows = [{"item": None, "n": 0, "upper": 0, "node_rows": local.rows}]
-        chosen = choose(local)
-        if chosen is None:
-            rows.append({"item": None, "n": -1, "upper": local.error, "node_rows": 0})
-        rows += [{"item": i, "n": local.counts[i], "upper": local.counts[i] + local.error, "node_rows": 0} for i in chosen or ()]
-        yield pa.RecordBatch.from_pylist(rows, schema=_SENT_ARROW)
+        table = chosen(local, local.counts())
+        lead = _leaders(table, k) if k and table.num_rows else np.zeros(table.num_rows, bool)
+        yield pa.RecordBatch.from_pydict({"item": [None], "n": [0], "lead": [False], "error": [local.error], "node_rows": [local.rows]}, schema=_SENT_ARROW)
+        same = {"error": local.error, "node_rows": local.rows}
+        columns = [table["item"], table["n"], pa.array(lead), *(pa.array(np.full(table.num_rows, x)) for x in same.values())]
+        yield from pa.Table.from_arrays(columns, schema=_SENT_ARROW).to_batches(max_chunksize=100_000)
 
     return items.mapInArrow(work, _SENT)
 
 
-def _at_least(local: LocalCounts, bound: float) -> list[str] | None:
-    """None where dropped items could reach the bound: it is too low for bounded memory."""
-    bound *= 1 - 1e-12  # rounding of the share must not lose an item
-    if local.error >= bound and local.error:
-        return None
-    return [i for i, n in local.counts.items() if n + local.error >= bound]
+def _exact(items: DataFrame, candidates: DataFrame, local: DataFrame | None) -> DataFrame:
+    """Exact counts of the candidates: from complete local counts, or from the column."""
+    wanted = written(candidates.select("item").distinct(), "candidates")
+    sent = if_small(wanted, F.col("item"))
+    one = F.sum("n") if local is not None else F.count("*")
+    return (items if local is None else local).join(wanted if sent is None else sent, "item", "left_semi").groupBy("item").agg(one.alias("n"))
 
 
-def _exact(items: DataFrame, sent: DataFrame, broadcast_rows: int) -> DataFrame:
-    if not sent.where("n = -1").isEmpty():
-        # a nearly flat column: no bound tells its leaders apart, so all items are counted
-        return items.where("item <> ''").groupBy("item").agg(F.count("*").alias("n"))
-    wanted = written(sent.where("item IS NOT NULL").select("item").distinct(), "candidates")
-    small = wanted.count() <= broadcast_rows
-    return items.join(F.broadcast(wanted) if small else wanted, "item", "left_semi").groupBy("item").agg(F.count("*").alias("n"))
+def _counted(items: DataFrame) -> DataFrame:
+    """A nearly flat column: no bound tells its leaders apart, so all items are counted."""
+    return items.where("item <> ''").groupBy("item").agg(F.count("*").alias("n"))
 
 
-def items_above(df: DataFrame, column: str, share: float, most: int = 1 << 20, broadcast_rows: int = 200_000) -> DataFrame:
+def items_above(df: DataFrame, column: str, share: float, most: int = 1 << 20) -> DataFrame:
     """(item, n): items that at least ``share`` of all rows hold, with exact counts."""
     items = df.select(F.col(column).cast("string").alias("item"))
-    sent = written(_pass(items, lambda c: _at_least(c, share * c.rows), most), "leaders")
-    rows = sent.agg(F.coalesce(F.sum("node_rows"), F.lit(0))).first()[0]
     part = Fraction(repr(share))  # 0.005 means one in 200, not the nearest double
-    return _exact(items, sent, broadcast_rows).where(F.col("n") * part.denominator >= part.numerator * rows)
 
+    def reach_share(local: LocalCounts, table: pa.Table) -> pa.Table:
+        least = -(-part.numerator * local.rows // part.denominator) - local.error
+        return table.filter(pc.greater_equal(table["n"], least))
 
-def top_items(df: DataFrame, column: str, k: int, most: int = 1 << 20, broadcast_rows: int = 200_000) -> DataFrame:
-    """(item, n): the ``k`` most frequent items with exact counts."""
-    items = df.select(F.col(column).cast("string").alias("item"))
+    sent = written(_pass(items, most, reach_share), "leaders")
+    rows, blind = sent.where("item IS NULL").agg(F.coalesce(F.sum("node_rows"), F.lit(0)), F.max(F.expr(f"error > 0 AND error * {part.denominator}BD >= node_rows * {part.numerator}BD"))).first()
+    found = _counted(items) if blind else _exact(items, sent.where("item IS NOT NULL"), None)
+    return found.where(F.col("n") * part.denominator >= part.numerator * rows)
 
-    def leaders(c: LocalCounts) -> list[str]:
-        return sorted(c.counts, key=lambda i: (-c.counts[i], i))[:k]
 
-    first = written(_pass(items, leaders, most), "leaders")
-    rows = first.agg(F.coalesce(F.sum("node_rows"), F.lit(0))).first()[0]
-    kth = first.where("item IS NOT NULL").groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(k).agg(F.min("n"), F.count("*")).first()
+def top_items(df: DataFrame, column: str, k: int, most: int = 1 << 20) -> DataFrame:
+    """(item, n): the ``k`` most frequent items with exact counts."""
+    items = df.select(F.col(column).cast("string").alias("item"))
+    local = written(_pass(items, most, lambda _, table: table, k), "local")
+    rows, error = local.where("item IS NULL").agg(F.coalesce(F.sum("node_rows"), F.lit(0)), F.coalesce(F.max("error"), F.lit(0))).first()
+    counts = local.where("item IS NOT NULL")
+    kth = counts.where("lead").groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(k).agg(F.min("n"), F.count("*")).first()
     bound = kth[0] if kth[1] == k else 1  # fewer leaders than k: every item counts
-    sent = written(_pass(items, lambda c: _at_least(c, bound * c.rows / max(rows, 1)), most), "fetched")
-    return _exact(items, sent, broadcast_rows).orderBy(F.desc("n"), "item").limit(k)
+    share = f"{bound}BD * node_rows"
+    if not local.where(f"item IS NULL AND error > 0 AND error * {rows}BD >= {share}").isEmpty():
+        found = _counted(items)
+    else:
+        found = _exact(items, counts.where(f"(n + error) * {rows}BD >= {share}"), None if error else counts)
+    return found.orderBy(F.desc("n"), "item").limit(k)

@@ -26,7 +26,7 @@ def top(data, k):
 def test_above_a_share(spark):
     data = values()
     for most in (1 << 20, 40):
-        got = {r.item: r.n for r in f.items_above(frame(spark, data).repartition(5), "k", 0.05, most=most, broadcast_rows=1).collect()}
+        got = {r.item: r.n for r in f.items_above(frame(spark, data).repartition(5), "k", 0.05, most=most).collect()}
         want = {i: n for i, n in Counter(v for v in data if v).items() if n >= 0.05 * len(data)}
         assert got == want and set(want) == {"hot", "warm"}
 
@@ -55,5 +55,15 @@ def test_local_counts_never_lose_more_than_the_error():
     local, data = f.LocalCounts(20), values(9)
     for i in range(0, len(data), 500):
         local.add(pa.array(data[i : i + 500], pa.string()))
+    table = local.counts()
+    counts = dict(zip(table["item"].to_pylist(), table["n"].to_pylist()))
+    assert local.rows == len(data) and 0 < local.error and len(counts) == table.num_rows <= 20
     for item, n in Counter(v for v in data if v).items():
-        assert n - local.error <= local.counts.get(item, 0) <= n
+        assert n - local.error <= counts.get(item, 0) <= n
+
+
+def test_candidates_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(f, "if_small", lambda *_: None)
+    data = values()
+    assert [tuple(r) for r in f.top_items(frame(spark, data).repartition(4), "k", 3).collect()] == top(data, 3)
+    assert {r.item for r in f.items_above(frame(spark, data), "k", 0.05).collect()} == {"hot", "warm"}
