@@ -12,7 +12,7 @@ bound is a share of all rows it is known beforehand, and the first two phases ar
 that writes only what is sent. Local counting keeps at most ``most`` entries between merges;
 when full it keeps the ``most`` / 2 most frequent and remembers the largest dropped count as
 the error, which is added to every local count, so it only ever sends too much. Candidates are at most nodes / share
-in number; few are broadcast (``session.if_small``), more are joined by shuffle. Only where
+in number; few (``_FEW``) are broadcast, more are told apart in the shuffle. Only where
 the bound lies below that error (a top-k of a nearly flat column with more than ``most``
 values on a node) are all items counted by shuffle.
 
@@ -37,6 +37,9 @@ from millrace.session import if_small, written
 _SENT = "item STRING, n BIGINT, lead BOOLEAN, error BIGINT, node_rows BIGINT"
 _SENT_ARROW = pa.schema([("item", pa.string()), ("n", pa.int64()), ("lead", pa.bool_()), ("error", pa.int64()), ("node_rows", pa.int64())])
 
+#: Candidates that are broadcast.
+_FEW = {"rows": 20_000, "size": 2 << 20}
+
 
 class LocalCounts:
     """Counts of one node. Batches are merged when they add up to ``most`` entries."""
@@ -93,12 +96,20 @@ def _pass(items: DataFrame, most: int, chosen: Callable[[LocalCounts, pa.Table],
     return items.mapInArrow(work, _SENT)
 
 
-def _exact(items: DataFrame, candidates: DataFrame, local: DataFrame | None) -> DataFrame:
-    """Exact counts of the candidates: from complete local counts, or from the column."""
+def _exact(items: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates counted in the column."""
     wanted = written(candidates.select("item").distinct(), "candidates")
-    sent = if_small(wanted, F.col("item"))
-    one = F.sum("n") if local is not None else F.count("*")
-    return (items if local is None else local).join(wanted if sent is None else sent, "item", "left_semi").groupBy("item").agg(one.alias("n"))
+    sent = if_small(wanted, F.col("item"), **_FEW)
+    return items.join(wanted if sent is None else sent, "item", "left_semi").groupBy("item").agg(F.count("*").alias("n"))
+
+
+def _summed(counts: DataFrame, reaches: str) -> DataFrame:
+    """The candidates (items with a local count that reaches the share) counted from complete local
+    counts. Many candidates (a low bound) need no join: one sum tells who is one."""
+    wanted = written(counts.where(reaches).select("item").distinct(), "candidates")
+    if (sent := if_small(wanted, F.col("item"), **_FEW)) is not None:
+        return counts.join(sent, "item", "left_semi").groupBy("item").agg(F.sum("n").alias("n"))
+    return counts.groupBy("item").agg(F.sum("n").alias("n"), F.max(F.expr(reaches)).alias("reaches")).where("reaches").select("item", "n")
 
 
 def _counted(items: DataFrame) -> DataFrame:
@@ -117,7 +128,7 @@ def items_above(df: DataFrame, column: str, share: float, most: int = 1 << 20) -
 
     sent = written(_pass(items, most, reach_share), "leaders")
     rows, blind = sent.where("item IS NULL").agg(F.coalesce(F.sum("node_rows"), F.lit(0)), F.max(F.expr(f"error > 0 AND error * {part.denominator}BD >= node_rows * {part.numerator}BD"))).first()
-    found = _counted(items) if blind else _exact(items, sent.where("item IS NOT NULL"), None)
+    found = _counted(items) if blind else _exact(items, sent.where("item IS NOT NULL"))
     return found.where(F.col("n") * part.denominator >= part.numerator * rows)
 
 
@@ -133,5 +144,6 @@ def top_items(df: DataFrame, column: str, k: int, most: int = 1 << 20) -> DataFr
     if not local.where(f"item IS NULL AND error > 0 AND error * {rows}BD >= {share}").isEmpty():
         found = _counted(items)
     else:
-        found = _exact(items, counts.where(f"(n + error) * {rows}BD >= {share}"), None if error else counts)
+        reaches = f"(n + error) * {rows}BD >= {share}"
+        found = _exact(items, counts.where(reaches)) if error else _summed(counts, reaches)
     return found.orderBy(F.desc("n"), "item").limit(k)

@@ -63,7 +63,8 @@ def test_local_counts_never_lose_more_than_the_error():
 
 
 def test_candidates_too_many_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(f, "if_small", lambda *_: None)
+    monkeypatch.setattr(f, "if_small", lambda *_, **__: None)
     data = values()
     assert [tuple(r) for r in f.top_items(frame(spark, data).repartition(4), "k", 3).collect()] == top(data, 3)
+    assert [tuple(r) for r in f.top_items(frame(spark, data).repartition(4), "k", 3, most=60).collect()] == top(data, 3)
     assert {r.item for r in f.items_above(frame(spark, data), "k", 0.05).collect()} == {"hot", "warm"}
