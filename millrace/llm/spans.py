@@ -111,11 +111,11 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     anchors = written(every.where("NOT again").groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     hot = written(keep_listed(every.drop("again"), anchors, "anchor"), "repeated")
     release(every, anchors)
-    classes = written(
-        hot.groupBy("anchor", "content").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(F.struct("doc", "start", "windows")).alias("one")), "classes"
-    )
+    # any place of the least record will do; the content fixes how many windows there are
+    classes = hot.groupBy("anchor", "content").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min_by("start", "doc").alias("start"), F.min("windows").alias("windows"))
+    classes = written(classes, "classes")
     mixed = classes.groupBy("anchor").agg(F.min("content").alias("c0"), F.max("content").alias("c1")).where("c0 < c1").select("anchor")
-    picked = classes.join(mixed, "anchor", "left_semi").select("anchor", "content", "least", "most", "one.doc", "one.start", "one.windows")
+    picked = classes.join(mixed, "anchor", "left_semi").select("anchor", "content", "least", "most", F.col("least").alias("doc"), "start", "windows")
     picks = _picks(picked)
     windows = written(_single_windows(docs, picks, span), "windows")
     release(picks)
@@ -148,8 +148,9 @@ def _holders(found: Repeats) -> DataFrame:
     window, each once. Neighbouring windows mostly have the same holders."""
     # windows of mixed anchors by the set of classes that have them, one window for each set
     by_set = found.windows.where("fresh").groupBy("anchor", "window").agg(*_set_sums("content"), F.min("least").alias("d0"), F.max("most").alias("d1"), F.min("content").alias("content"))
-    sets = by_set.where("d0 < d1").groupBy("n", "s0", "s1", "s2").agg(F.min(F.struct("anchor", "window", "content")).alias("k"))
-    sets = written(sets.select("n", "k.*"), "sets")
+    # equal sets of classes have one anchor, and sets of one class its content
+    sets = by_set.where("d0 < d1").groupBy("n", "s0", "s1", "s2").agg(F.min("anchor").alias("anchor"), F.min("window").alias("window"), F.min("content").alias("content"))
+    sets = written(sets.select("n", "anchor", "window", "content"), "sets")
     # a class holds its windows alone if no other has its anchor, or if it has a window of its own
     mixed = found.windows.select("anchor").distinct()
     alone = found.classes.where("least < most").select("anchor", "content").join(mixed, "anchor", "left_anti")
