@@ -28,8 +28,16 @@ def words(text: Column) -> Column:
 
 
 def fields(text: Column, separator: str = ",") -> Column:
-    """Pieces between literal separators, trailing empty ones kept; no quoting."""
-    return F.split(text, r"\Q" + separator + r"\E", -1)
+    """Pieces between literal separators, trailing empty ones kept; no quoting. A separator of one
+    character is split without a regex."""
+    literal = ("" if separator.isalnum() else "\\") + separator if len(separator) == 1 else r"\Q" + separator + r"\E"
+    return F.split(text, literal, -1)
+
+
+def n_fields(text: Column, separator: str = ",") -> Column:
+    """How many ``fields`` there are, without splitting."""
+    seen = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(separator)))
+    return (seen / len(separator.encode())).cast("int") + 1
 
 
 def prefix(text: Column, n: int) -> Column:

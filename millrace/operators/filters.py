@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import fields, strict_date, strict_int
+from millrace.functions.text import n_fields, strict_date, strict_int
 
 
 def above(df: DataFrame, number: Column, threshold: float) -> DataFrame:
@@ -36,4 +36,4 @@ def in_list(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
 
 
 def well_formed(df: DataFrame, text: str, arity: int, separator: str = ",") -> DataFrame:
-    return df.where(F.size(fields(F.col(text), separator)) == arity)
+    return df.where(n_fields(F.col(text), separator) == arity)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.text import n_fields
 from millrace.operators.shuffle import custom_partition
 from millrace.plans.conf import EngineConf, byte_ranges, next_fit, reducer_count
 from millrace.session import folder_bytes, intermediates
@@ -146,8 +147,7 @@ class Pipeline:
         began = time.time()
         read, wrote = Observation(), Observation()
         value = F.col("value")
-        n_fields = F.length(value) - F.length(F.replace(value, F.lit(","))) + 1
-        dropped = F.count(F.when(~n_fields.isin(list(self.arity)) if self.arity else F.lit(False), 1))
+        dropped = F.count(F.when(~n_fields(value).isin(list(self.arity)) if self.arity else F.lit(False), 1))
         # a line's own end counts
         counts = (F.count("*").alias("lines"), F.coalesce(F.sum(F.octet_length(value) + 1), F.lit(0)).alias("bytes"), dropped.alias("dropped"))
         # a plan over nothing is folded away with its observations

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.text import fields
+from millrace.functions.text import fields, n_fields
 from millrace.operators.malformed import chomp
 from millrace.sources.places import for_spark
 
@@ -40,8 +40,9 @@ def text_lines(spark: SparkSession, *paths: str) -> DataFrame:
 def key_value(lines: DataFrame, value: str = "value") -> DataFrame:
     """(key, value): a line of exactly two tab-separated fields is a pair; any other line is a
     value under the empty key. A null line gives an empty key and a null value."""
-    parts = F.split(F.col(value), "\t", -1)
-    pair = F.size(parts) == 2
+    # most lines of most inputs have no tab and needn't be split
+    parts = F.when(F.col(value).contains("\t"), F.split(F.col(value), "\t", -1))
+    pair = F.coalesce(F.size(parts) == 2, F.lit(False))
     return lines.select(F.when(pair, parts[0]).otherwise("").alias("key"), F.when(pair, parts[1]).otherwise(F.col(value)).alias("value"))
 
 
@@ -49,12 +50,12 @@ def delimited(lines: DataFrame, names: Sequence[str], value: str = "value", sepa
     """The text fields of lines with as many fields as names; other lines are left out
     (``arity_errors`` counts them). No quoting."""
     parts = fields(F.col(value), separator)
-    return lines.where(F.size(parts) == len(names)).select(*[parts[i].alias(n) for i, n in enumerate(names)])
+    return lines.where(n_fields(F.col(value), separator) == len(names)).select(*[parts[i].alias(n) for i, n in enumerate(names)])
 
 
 def arity_errors(lines: DataFrame, arity: Sequence[int], value: str = "value", separator: str = ",") -> DataFrame:
     """(n_fields, lines): how many lines have a number of fields outside ``arity``."""
-    n = F.coalesce(F.size(fields(F.col(value), separator)), F.lit(0))
+    n = F.coalesce(n_fields(F.col(value), separator), F.lit(0))
     return lines.select(n.alias("n_fields")).where(~F.col("n_fields").isin(list(arity))).groupBy("n_fields").agg(F.count("*").alias("lines"))
 
 

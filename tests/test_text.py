@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import fnv1_bin, fnv1_values
-from millrace.functions.text import fields, fixed6, prefix, sanitized, strict_date, strict_float, strict_int, tokens, words
+from millrace.functions.text import fields, fixed6, n_fields, prefix, sanitized, strict_date, strict_float, strict_int, tokens, words
 from millrace.operators import aggregates, filters, joins, shuffle
 from millrace.sources.sinks import write_key_value
 from millrace.sources.text import arity_errors, delimited, key_value, text_lines, union_inputs
@@ -122,3 +122,11 @@ def test_sink(spark, tmp_path):
     write_key_value(df, f"file://{tmp_path}/out", F.col("k"), [fixed6(F.col("v")), F.col("w")])
     lines = sorted(line for p in os.listdir(tmp_path / "out") if p.startswith("part") for line in (tmp_path / "out" / p).read_text().splitlines())
     assert lines == ["\t2.000000\tx", "k\t1.500000\t"]
+
+
+@pytest.mark.parametrize("separator", [",", "|", "\t", ".", "\\", "^", "a", "7", "é", "::", ".*", "日本"])
+def test_fields_and_their_number(spark, separator):
+    for text in ("", separator, f"x{separator}y", f"{separator}x{separator}{separator}", "none", separator * 5 + "z"):
+        got = spark.createDataFrame([(text,)], "t STRING").select(fields(F.col("t"), separator), n_fields(F.col("t"), separator)).first()
+        assert tuple(got) == (text.split(separator), len(text.split(separator)))
+    assert one(spark, None, lambda c: n_fields(c, separator)) is None
